@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .ann import neighbours
+from .html_text import extracted
 from .mixing import rates
 from .ngram_jaccard import ngram_jaccard
 from .packing import packed
@@ -11,6 +13,7 @@ from .quality import judged
 from .store import new_folder, table, written
 from .substring_dedup import deduplicated
 from .token_counts import TokenRollup, deletes, document_counts, inserts, revisions
+from .toxicity import fit, scored
 from .warc import archived
 
 
@@ -31,6 +34,20 @@ def op4_substring_dedup(spark, sf_dir):
     return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "words_removed")
 
 
+def op5_html_text(spark, sf_dir):
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_ann(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"))
 
@@ -52,6 +69,6 @@ def op10_warc(spark, sf_dir):
     return archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_ngram_jaccard, op4_substring_dedup, op8_best_fit_packing, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_ngram_jaccard, op4_substring_dedup, op5_html_text, op6_toxicity, op7_ann, op8_best_fit_packing, op9_token_counts, op10_warc)}
 
 SQL: dict[str, str] = {}

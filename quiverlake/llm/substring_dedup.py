@@ -246,3 +246,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     joined = keyed.join(bounded(lost, 200_000), ["rid", "tid"], "left").select(*[f"c{i}" for i in range(len(docs.columns))], "ranges")
     out = joined.mapInArrow(_cut(position, len(docs.columns)), f"{kinds}, n_sentences long, n_removed long, words_removed long")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *sorted(added))
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` after removal, with its own columns; n_chars, where there, follows the text.  Documents that lose all their text go."""
+    done = deduplicated(docs, doc_id, text).where(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_sentences"))))
+    if "n_chars" in docs.columns and text != "n_chars":
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
