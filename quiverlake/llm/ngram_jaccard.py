@@ -38,11 +38,11 @@ from .kernels import Words, buffers, chunks, mix, pack, pack_sorted, shingles, u
 from .store import bounded, shuffle_partitions, text_batches, written
 
 #: Entries of a block of the incidence matrix.
-BLOCK_ENTRIES = 1_500_000
+BLOCK_ENTRIES = 1_000_000
 #: Common rare shingles that a linked pair must have (fewer where its overlap bound is lower).
 DEPTH = 8
 #: Pairs formed at a time within one posting list.
-PAIR_TILE = 4_000_000
+PAIR_TILE = 400_000
 
 
 def _least_overlap(x, y, num: int, den: int):
@@ -108,16 +108,15 @@ def _text_blocks(buckets: int, bits: int, k: int):
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        ids, sizes, signs, tokens, docs, rows = [], [], [], [], [], 0
+        ids, sizes, signs, tokens, docs, rows, entries = [], [], [], [], [], 0, 0
 
         def flush():
-            nonlocal number, rows
+            nonlocal number, rows, entries
             t, d = np.concatenate(tokens), np.concatenate(docs)
             order = np.argsort(t, kind="stable")
             head = _header(pack(np.concatenate(ids)), pack(np.concatenate(sizes)), pack(np.concatenate(signs)))
             out = _batch(_messages(number, rows, t[order], d[order], buckets, head, bits, True))
-            number += 1
-            rows = 0
+            number, rows, entries = number + 1, 0, 0
             for x in (ids, sizes, signs, tokens, docs):
                 x.clear()
             return out
@@ -133,7 +132,8 @@ def _text_blocks(buckets: int, bits: int, k: int):
                 tokens.append(h >> np.uint64(64 - bits))
                 docs.append((row + rows).astype(np.int64))
                 rows += len(own) - 1
-                if sum(map(len, tokens)) >= BLOCK_ENTRIES or rows >= 50_000:
+                entries += len(h)
+                if entries >= BLOCK_ENTRIES or rows >= 50_000:
                     yield flush()
         if rows:
             yield flush()
@@ -241,28 +241,27 @@ def _text_sets(k: int):
 def _set_blocks(buckets: int):
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        signs, sizes, tokens = [], [], []
+        signs, tokens, entries = [], [], 0
 
         def flush():
-            nonlocal number
+            nonlocal number, entries
             n = np.array([len(t) for t in tokens])
             t, d = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), n)
             order = np.argsort(t, kind="stable")
             head = _header(pack(np.array(signs, np.int64)), pack(n.astype(np.int64)))
             out = _batch(_messages(number, len(tokens), t[order], d[order], buckets, head, 64, False))
-            number += 1
-            for x in (signs, sizes, tokens):
-                x.clear()
+            number, entries = number + 1, 0
+            signs.clear()
+            tokens.clear()
             return out
 
         for batch in batches:
             for sign, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 signs.append(sign)
-                sizes.append(n)
                 tokens.append(np.frombuffer(blob.as_py(), np.uint64))
-                if sum(sizes) >= BLOCK_ENTRIES or len(signs) >= 50_000:
+                entries += n
+                if entries >= BLOCK_ENTRIES or len(signs) >= 50_000:
                     yield flush()
-                    sizes.clear()
         if tokens:
             yield flush()
 
@@ -381,13 +380,30 @@ def _grouped(a: list, b: list) -> pa.RecordBatch:
     )
 
 
-def _count_pairs(table: pa.Table) -> pa.Table:
-    """Meetings of a document -> overlap counts; pairs with fewer than DEPTH fall to the size bound later."""
-    other = np.concatenate([unpack(x.as_py(), np.int64) for x in table.column("payload")])
-    values, counts = np.unique(other, return_counts=True)
-    keep = counts >= 1
-    a = table.column("a")[0].as_py()
-    return pa.table({"a": np.full(int(keep.sum()), a, np.int64), "b": values[keep], "met": counts[keep].astype(np.int64)})
+def _count_pairs(batches):
+    """Meetings sorted by document and lane -> how often each pair met."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int64())])
+
+    def counted(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(np.diff(np.append(cut, len(a))).astype(np.int64))], schema=schema)
+
+    held_a, held_b, held, now = [], [], 0, None
+    for batch in batches:
+        lane = batch.column(1).to_pylist()
+        for a, place, payload in zip(batch.column(0).to_pylist(), lane, batch.column(2), strict=True):
+            if (a, place) != now and held > PAIR_TILE:
+                yield counted(np.concatenate(held_a), np.concatenate(held_b))
+                held_a, held_b, held = [], [], 0
+            now = a, place
+            other = unpack(payload.as_py(), np.int64)
+            held_a.append(np.full(len(other), a, np.int64))
+            held_b.append(other)
+            held += len(other)
+    if held:
+        yield counted(np.concatenate(held_a), np.concatenate(held_b))
 
 
 def _verify(num: int, den: int):
@@ -448,7 +464,8 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     now = written(now, "placed")
     mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     met = now.join(mixed, "token", "left_semi").repartition(partitions, "token").sortWithinPartitions("token").select("token", "sign", "n", "component")
-    met = met.mapInArrow(_cross_pairs(num, den), "a long, lane int, payload binary").groupBy("a", "lane").applyInArrow(_count_pairs, "a long, b long, met long")
+    met = met.mapInArrow(_cross_pairs(num, den), "a long, lane int, payload binary").repartition(partitions, "a", "lane").sortWithinPartitions("a", "lane")
+    met = met.mapInArrow(_count_pairs, "a long, b long, met long")
     size = sets.select("sign", "n").distinct()
     met = met.join(size.select(F.col("sign").alias("a"), F.col("n").alias("x")), "a").join(size.select(F.col("sign").alias("b"), F.col("n").alias("y")), "b")
     least = F.ceil((F.col("x") + F.col("y")) * num / (num + den) - F.lit(1e-9))

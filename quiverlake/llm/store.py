@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side with a few fixed-width columns may be broadcast (about 64 MB hashed).
 BROADCAST_ROWS = 1_000_000
-#: Rows that an Arrow batch of texts holds at most; kernels cut batches further by bytes.
-BATCH_ROWS = 2_000
+#: Rows and bytes that an Arrow batch holds at most (one row at least); kernels cut batches further.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 _roots: dict[str, str] = {}
 
@@ -67,11 +67,11 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of very long texts must fit beside the JVM's heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Small Arrow batches: a batch of long texts or messages must fit beside the JVM's heap."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
