@@ -342,7 +342,7 @@ def _cross_pairs(num: int, den: int):
         for table in lists(batches):
             t, s, n, c = (np.asarray(x.combine_chunks()) for x in table.columns[:4])
             cut = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
-            a, b = [], []
+            a, b, need = [], [], []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 sign, size, comp = s[lo:hi], n[lo:hi], c[lo:hi]
                 values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
@@ -358,52 +358,54 @@ def _cross_pairs(num: int, den: int):
                     p, q = np.nonzero(ok)
                     a.append(sign[x][p])
                     b.append(sign[q])
+                    need.append(np.minimum(_least_overlap(size[x][p], size[q], num, den), DEPTH).astype(np.uint8))
                     if sum(map(len, a)) > PAIR_TILE:
-                        yield _grouped(a, b)
-                        a, b = [], []
+                        yield _grouped(a, b, need)
+                        a, b, need = [], [], []
             if a:
-                yield _grouped(a, b)
+                yield _grouped(a, b, need)
 
     return run
 
 
-def _grouped(a: list, b: list) -> pa.RecordBatch:
+def _grouped(a: list, b: list, need: list) -> pa.RecordBatch:
     # a meeting is named from its smaller end, so that all lists count it together
-    x, y = np.concatenate(a), np.concatenate(b)
+    x, y, need = np.concatenate(a), np.concatenate(b), np.concatenate(need)
     x, y = np.minimum(x, y), np.maximum(x, y)
     lane = (mix(y.view(np.uint64)) & np.uint64(15)).astype(np.int64)
     order = np.lexsort((y, lane, x))
-    x, y, lane = x[order], y[order], lane[order]
+    x, y, lane, need = x[order], y[order], lane[order], need[order]
     cut = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]) | (lane[1:] != lane[:-1])) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x[cut[:-1]], pa.int64()), pa.array(lane[cut[:-1]].astype(np.int32), pa.int32()), pa.array([pack(y[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], schema=_PAIRS
-    )
+    payload = [y[i:j].tobytes() + need[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(x[cut[:-1]], pa.int64()), pa.array(lane[cut[:-1]].astype(np.int32), pa.int32()), pa.array(payload, pa.binary())], schema=_PAIRS)
 
 
-def _count_pairs(batches):
-    """Meetings sorted by document and lane -> how often each pair met."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int64())])
+def _often(batches):
+    """Meetings sorted by document and lane -> the pairs that met as often as a linked pair of their sizes must, or DEPTH times."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def counted(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def counted(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        a, b, need = a[order], b[order], need[order]
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(np.diff(np.append(cut, len(a))).astype(np.int64))], schema=schema)
+        cut = cut[np.diff(np.append(cut, len(a))) >= need[cut]]
+        return pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut])], schema=schema)
 
-    held_a, held_b, held, now = [], [], 0, None
+    held, size, now = ([], [], []), 0, None
     for batch in batches:
-        lane = batch.column(1).to_pylist()
-        for a, place, payload in zip(batch.column(0).to_pylist(), lane, batch.column(2), strict=True):
-            if (a, place) != now and held > PAIR_TILE:
-                yield counted(np.concatenate(held_a), np.concatenate(held_b))
-                held_a, held_b, held = [], [], 0
-            now = a, place
-            other = unpack(payload.as_py(), np.int64)
-            held_a.append(np.full(len(other), a, np.int64))
-            held_b.append(other)
-            held += len(other)
-    if held:
-        yield counted(np.concatenate(held_a), np.concatenate(held_b))
+        for a, lane, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (a, lane) != now and size > PAIR_TILE:
+                yield counted(*map(np.concatenate, held))
+                held, size = ([], [], []), 0
+            now = a, lane
+            blob = payload.as_py()
+            n = len(blob) // 9
+            held[0].append(np.full(n, a, np.int64))
+            held[1].append(np.frombuffer(blob, np.int64, n))
+            held[2].append(np.frombuffer(blob, np.uint8, n, 8 * n))
+            size += n
+    if size:
+        yield counted(*map(np.concatenate, held))
 
 
 def _verify(num: int, den: int):
@@ -465,11 +467,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     met = now.join(mixed, "token", "left_semi").repartition(partitions, "token").sortWithinPartitions("token").select("token", "sign", "n", "component")
     met = met.mapInArrow(_cross_pairs(num, den), "a long, lane int, payload binary").repartition(partitions, "a", "lane").sortWithinPartitions("a", "lane")
-    met = met.mapInArrow(_count_pairs, "a long, b long, met long")
-    size = sets.select("sign", "n").distinct()
-    met = met.join(size.select(F.col("sign").alias("a"), F.col("n").alias("x")), "a").join(size.select(F.col("sign").alias("b"), F.col("n").alias("y")), "b")
-    least = F.ceil((F.col("x") + F.col("y")) * num / (num + den) - F.lit(1e-9))
-    pairs = met.where(F.col("met") >= F.least(F.lit(DEPTH), least)).select("a", "b").distinct()
+    pairs = written(met.mapInArrow(_often, "a long, b long"), "pairs")
     links = written(first.unionByName(_links(pairs, sets, num, den)), "links")
 
     node = written(components(links, "a", "b"), "components")
