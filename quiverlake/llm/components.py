@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import shuffle_partitions, written
 
 
 def _forest(batches):
@@ -44,8 +44,9 @@ def _forest(batches):
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of a link; component is its smallest node.  No links: no rows."""
+    files = max(6, shuffle_partitions(links.sparkSession) // 8)
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    edges = written(edges.mapInArrow(_forest, "u long, v long").where("u <> v").distinct(), "links")
+    edges = written(edges.mapInArrow(_forest, "u long, v long").where("u <> v").distinct(), "links", files)
     for _ in range(60):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -53,7 +54,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = written(small, "links")
+        now = written(small, "links", files)
         mark = [F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))]
         if edges.agg(*mark).first() == now.agg(*mark).first():
             break

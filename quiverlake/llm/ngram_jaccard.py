@@ -317,8 +317,8 @@ _PAIRS = pa.schema([("a", pa.int64()), ("lane", pa.int32()), ("payload", pa.bina
 def _cross_pairs(num: int, den: int):
     """Posting lists (sorted by token) -> for each document, those it meets in a list, in another component, of a fitting size.
 
-    One row for each document and lane of a list holds the others; a meeting is
-    written at the end that isn't in the list's largest component.
+    A row holds some of the others that a document meets, with the number of
+    meetings that a linked pair of their sizes has at least.
     """
 
     def lists(batches):
@@ -339,12 +339,12 @@ def _cross_pairs(num: int, den: int):
             yield pa.Table.from_batches(kept)
 
     def run(batches):
+        a, b, need, held = [], [], [], 0
         for table in lists(batches):
-            t, s, n, c = (np.asarray(x.combine_chunks()) for x in table.columns[:4])
+            t, s, n, c, w = (np.asarray(x.combine_chunks()) for x in table.columns[:5])
             cut = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
-            a, b, need = [], [], []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                sign, size, comp = s[lo:hi], n[lo:hi], c[lo:hi]
+                sign, size, comp, weight = s[lo:hi], n[lo:hi], c[lo:hi], w[lo:hi]
                 values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
                 if len(values) < 2:
                     continue
@@ -356,23 +356,25 @@ def _cross_pairs(num: int, den: int):
                     # both ends outside the largest component: once, from the smaller
                     ok &= (inverse[None, :] == np.argmax(counts)) | (sign[x][:, None] < sign[None, :])
                     p, q = np.nonzero(ok)
-                    a.append(sign[x][p])
-                    b.append(sign[q])
-                    need.append(np.minimum(_least_overlap(size[x][p], size[q], num, den), DEPTH).astype(np.uint8))
-                    if sum(map(len, a)) > PAIR_TILE:
+                    p = x[p]
+                    need.append(np.minimum(_least_overlap(size[p], size[q], num, den), DEPTH).astype(np.uint8))
+                    # named from the end in the smaller component, so that all lists count a pair together
+                    turn = (weight[p] > weight[q]) | ((weight[p] == weight[q]) & (sign[p] > sign[q]))
+                    a.append(sign[np.where(turn, q, p)])
+                    b.append(sign[np.where(turn, p, q)])
+                    held += len(p)
+                    if held > PAIR_TILE:
                         yield _grouped(a, b, need)
-                        a, b, need = [], [], []
-            if a:
-                yield _grouped(a, b, need)
+                        a, b, need, held = [], [], [], 0
+        if held:
+            yield _grouped(a, b, need)
 
     return run
 
 
 def _grouped(a: list, b: list, need: list) -> pa.RecordBatch:
-    # a meeting is named from its smaller end, so that all lists count it together
     x, y, need = np.concatenate(a), np.concatenate(b), np.concatenate(need)
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    lane = (mix(y.view(np.uint64)) & np.uint64(15)).astype(np.int64)
+    lane = (mix(y.view(np.uint64)) & np.uint64(3)).astype(np.int64)
     order = np.lexsort((y, lane, x))
     x, y, lane, need = x[order], y[order], lane[order], need[order]
     cut = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]) | (lane[1:] != lane[:-1])) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
@@ -462,10 +464,11 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     first = written(_links(stars, sets, num, den), "stars")
 
     node = components(first, "a", "b")
-    now = posts.join(node.select(F.col("node").alias("sign"), "component"), "sign", "left").select("token", "sign", "n", F.coalesce("component", "sign").alias("component"))
+    node = written(node.join(node.groupBy("component").agg(F.count("*").alias("weight")), "component").select(F.col("node").alias("sign"), "component", "weight"), "nodes")
+    now = posts.join(node, "sign", "left").select("token", "sign", "n", F.coalesce("component", "sign").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
     now = written(now, "placed")
     mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    met = now.join(mixed, "token", "left_semi").repartition(partitions, "token").sortWithinPartitions("token").select("token", "sign", "n", "component")
+    met = now.join(mixed, "token", "left_semi").repartition(partitions, "token").sortWithinPartitions("token").select("token", "sign", "n", "component", "weight")
     met = met.mapInArrow(_cross_pairs(num, den), "a long, lane int, payload binary").repartition(partitions, "a", "lane").sortWithinPartitions("a", "lane")
     pairs = written(met.mapInArrow(_often, "a long, b long"), "pairs")
     links = written(first.unionByName(_links(pairs, sets, num, den)), "links")

@@ -53,10 +53,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read again from a table in the shared folder: lineage ends here and survives lost executors."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """The same rows, read again from a table in the shared folder: lineage ends here and survives lost executors.
+
+    files: tables of a few narrow rows come in this many files at most, which spares the store many tiny ones.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if files:
+        df = df.coalesce(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
