@@ -382,53 +382,107 @@ def _grouped(a: list, b: list, need: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[cut[:-1]], pa.int64()), pa.array(lane[cut[:-1]].astype(np.int32), pa.int32()), pa.array(payload, pa.binary())], schema=_PAIRS)
 
 
-def _often(batches):
-    """Meetings sorted by document and lane -> the pairs that met as often as a linked pair of their sizes must, or DEPTH times."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _block_of(sign: np.ndarray, blocks: int) -> np.ndarray:
+    return (sign >> 8) % blocks
+
+
+def _often(blocks: int):
+    """Meetings sorted by document and lane -> those met as often as a linked pair of their sizes must, or DEPTH times, by block of the other."""
+    schema = pa.schema([("a", pa.int64()), ("block", pa.int32()), ("others", pa.list_(pa.int64()))])
 
     def counted(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((b, a))
         a, b, need = a[order], b[order], need[order]
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
         cut = cut[np.diff(np.append(cut, len(a))) >= need[cut]]
-        return pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut])], schema=schema)
+        a, b = a[cut], b[cut]
+        block = _block_of(b, blocks)
+        order = np.lexsort((block, a))
+        a, b, block = a[order], b[order], block[order]
+        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (block[1:] != block[:-1])])) if len(a) else np.zeros(0, np.int64)
+        others = pa.ListArray.from_arrays(pa.array(np.append(cut, len(b)).astype(np.int32)), pa.array(b, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(a[cut], pa.int64()), pa.array(block[cut].astype(np.int32), pa.int32()), others], schema=schema)
+
+    def run(batches):
+        held, size, now = ([], [], []), 0, None
+        for batch in batches:
+            for a, lane, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (a, lane) != now and size > PAIR_TILE:
+                    yield counted(*map(np.concatenate, held))
+                    held, size = ([], [], []), 0
+                now = a, lane
+                blob = payload.as_py()
+                n = len(blob) // 9
+                held[0].append(np.full(n, a, np.int64))
+                held[1].append(np.frombuffer(blob, np.int64, n))
+                held[2].append(np.frombuffer(blob, np.uint8, n, 8 * n))
+                size += n
+        if size:
+            yield counted(*map(np.concatenate, held))
+
+    return run
+
+
+def _block_product(num: int, den: int):
+    """Each block's sets, then the rows that ask about it: (block, sign or asker, component, tokens, others) -> links (a, b).
+
+    A block is held as its incidence matrix in order of shingles; an asker's set
+    times it gives the overlap with every set of the block.  Of an asker's links
+    into one component one is returned.
+    """
+
+    def answers(a: int, x: np.ndarray, others: np.ndarray, signs, components, sizes, edge, flat, tokens, doc):
+        at = np.searchsorted(signs, others)
+        at = at[signs[np.minimum(at, len(signs) - 1)] == others]
+        if len(at) > 8:
+            lo, hi = np.searchsorted(tokens, x), np.searchsorted(tokens, x, "right")
+            n = hi - lo
+            place = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(doc[place], minlength=len(signs))[at]
+        else:
+            both = np.array([len(np.intersect1d(x, flat[edge[i] : edge[i + 1]], assume_unique=True)) for i in at], np.int64)
+        good = at[den * both >= num * (len(x) + sizes[at] - both)]
+        _, first = np.unique(components[good], return_index=True)
+        return [(a, int(signs[i])) for i in good[first]]
 
-    held, size, now = ([], [], []), 0, None
-    for batch in batches:
-        for a, lane, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if (a, lane) != now and size > PAIR_TILE:
-                yield counted(*map(np.concatenate, held))
-                held, size = ([], [], []), 0
-            now = a, lane
-            blob = payload.as_py()
-            n = len(blob) // 9
-            held[0].append(np.full(n, a, np.int64))
-            held[1].append(np.frombuffer(blob, np.int64, n))
-            held[2].append(np.frombuffer(blob, np.uint8, n, 8 * n))
-            size += n
-    if size:
-        yield counted(*map(np.concatenate, held))
-
-
-def _verify(num: int, den: int):
     def run(batches):
+        now, own, ready, out = None, [], None, []
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for k, block in enumerate(batch.column(0).to_pylist()):
+                sign, component, blob = batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), np.frombuffer(batch.column(3)[k].as_py(), np.uint64)
+                if block != now:
+                    now, own, ready = block, [], None
+                others = batch.column(4)[k]
+                if not others.is_valid:
+                    own.append((sign, component, blob))
+                    continue
+                if ready is None:
+                    own.sort(key=lambda r: r[0])
+                    signs, components = (np.array([r[j] for r in own], np.int64) for j in (0, 1))
+                    sizes = np.array([len(r[2]) for r in own], np.int64)
+                    flat = np.concatenate([r[2] for r in own]) if own else np.zeros(0, np.uint64)
+                    order = np.argsort(flat, kind="stable")
+                    ready = signs, components, sizes, np.concatenate([[0], np.cumsum(sizes)]), flat, flat[order], np.repeat(np.arange(len(own)), sizes)[order]
+                if own:
+                    out += answers(sign, blob, np.asarray(others.values), *ready)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose sets link.  Each pair carries one set through a shuffle, not both."""
-    own = sets.select("sign", "tokens")
-    with_b = pairs.select("a", "b").join(own.select(F.col("sign").alias("b"), F.col("tokens").alias("y")), "b")
-    both = with_b.join(own.select(F.col("sign").alias("a"), F.col("tokens").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
+def _links(asked: DataFrame, sets: DataFrame, blocks: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the pairs of ``asked`` (a, block, others), by a product with each block of ``sets`` (sign, component, tokens, block).
+
+    Every set travels once with its block, and an asker's set once to each block that it asks.
+    """
+    own = sets.select("block", "sign", "component", "tokens", F.lit(None).cast("array<long>").alias("others"))
+    askers = asked.join(sets.select(F.col("sign").alias("a"), "component", "tokens"), "a").select("block", F.col("a").alias("sign"), "component", "tokens", "others")
+    both = own.unionByName(askers).withColumn("asks", F.col("others").isNotNull())
+    both = both.repartition(shuffle_partitions(sets.sparkSession), "block").sortWithinPartitions("block", "asks").drop("asks")
+    return both.mapInArrow(_block_product(num, den), "a long, b long")
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -458,10 +512,16 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     posts = _exchange(sets, _set_blocks(buckets), _frequencies, buckets, partitions)
     posts = written(posts.groupBy("block").applyInArrow(_postings(num, den), "token long, sign long, n long, central double"), "postings")
 
+    # a set's block of about BLOCK_ENTRIES / 2 entries follows from its signature alone
+    entries = sets.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-2 * entries // BLOCK_ENTRIES))
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     pivot = posts.groupBy("token").agg(F.max(F.struct("central", "sign", "n")).alias("p"), F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo <> hi").select("token", F.col("p.sign").alias("a"), F.col("p.n").alias("m"))
     stars = posts.join(pivot, "token").where((F.col("a") != F.col("sign")) & fits(F.col("m"), F.col("n"))).select("a", F.col("sign").alias("b")).distinct()
-    first = written(_links(stars, sets, num, den), "stars")
+    block = lambda c: F.pmod(F.shiftright(c, 8), F.lit(blocks)).cast("int")  # noqa: E731  signatures are mixed hashes
+    stars = stars.groupBy("a", block("b").alias("block")).agg(F.collect_list("b").alias("others"))
+    blocked = sets.select("sign", "tokens", block("sign").alias("block"))
+    first = written(_links(stars, blocked.withColumn("component", F.col("sign")), blocks, num, den), "stars")
 
     node = components(first, "a", "b")
     node = written(node.join(node.groupBy("component").agg(F.count("*").alias("weight")), "component").select(F.col("node").alias("sign"), "component", "weight"), "nodes")
@@ -470,8 +530,9 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     met = now.join(mixed, "token", "left_semi").repartition(partitions, "token").sortWithinPartitions("token").select("token", "sign", "n", "component", "weight")
     met = met.mapInArrow(_cross_pairs(num, den), "a long, lane int, payload binary").repartition(partitions, "a", "lane").sortWithinPartitions("a", "lane")
-    pairs = written(met.mapInArrow(_often, "a long, b long"), "pairs")
-    links = written(first.unionByName(_links(pairs, sets, num, den)), "links")
+    met = written(met.mapInArrow(_often(blocks), "a long, block int, others array<long>"), "met")
+    blocked = blocked.join(node.select("sign", "component"), "sign", "left").withColumn("component", F.coalesce("component", "sign"))
+    links = written(first.unionByName(_links(met, blocked, blocks, num, den)), "links")
 
     node = written(components(links, "a", "b"), "components")
     placed = counted.join(node.withColumnRenamed("node", "sign"), "sign", "left")
