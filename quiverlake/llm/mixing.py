@@ -77,7 +77,7 @@ def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
         raise ValueError(f"columns {sorted(clash)} are taken")
     spark = docs.sparkSession
     sums = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    small = written(targets(cycled_weights(sums, weights=weights), total, most).withColumnRenamed("source", "_key"), "sources")
+    small = written(targets(cycled_weights(sums, weights=weights), total, most).withColumnRenamed("source", "_key"), "sources", 1)
     small = small.select("_key", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     sized = docs.withColumn("_size", n_words(F.col(text)))
     both = sized.join(small, sized[source].eqNullSafe(small["_key"])).drop("_key")

@@ -496,17 +496,17 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     spark = docs.sparkSession
     text_batches(spark)
     partitions = shuffle_partitions(spark)
-    buckets = 2 * partitions
+    buckets, files = 2 * partitions, max(6, partitions // 8)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     base = base.select("id", F.coalesce("id", F.xxhash64("text")).alias("rid"), "text")
     bits = min(64, int(base.count()).bit_length() + 20)
 
     counted = _exchange(base.select("rid", "text"), _text_blocks(buckets, bits, k), _shared_counts, buckets, partitions)
     counted = counted.groupBy("block").applyInArrow(_sum_block, "rid long, n long, sign long, shared long")
-    counted = written(counted, "shared")
+    counted = written(counted, "shared", files)
 
     able = counted.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num))
-    chosen = written(able.groupBy("sign").agg(F.min("rid").alias("rid")).select("rid").distinct(), "chosen")
+    chosen = written(able.groupBy("sign").agg(F.min("rid").alias("rid")).select("rid").distinct(), "chosen", files)
     sets = written(base.join(bounded(chosen), "rid", "left_semi").select("rid", "text").mapInArrow(_text_sets(k), "sign long, n long, tokens binary"), "sets")
 
     posts = _exchange(sets, _set_blocks(buckets), _frequencies, buckets, partitions)
@@ -521,10 +521,10 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     block = lambda c: F.pmod(F.shiftright(c, 8), F.lit(blocks)).cast("int")  # noqa: E731  signatures are mixed hashes
     stars = stars.groupBy("a", block("b").alias("block")).agg(F.collect_list("b").alias("others"))
     blocked = sets.select("sign", "tokens", block("sign").alias("block"))
-    first = written(_links(stars, blocked.withColumn("component", F.col("sign")), blocks, num, den), "stars")
+    first = written(_links(stars, blocked.withColumn("component", F.col("sign")), blocks, num, den), "stars", 2 * files)
 
     node = components(first, "a", "b")
-    node = written(node.join(node.groupBy("component").agg(F.count("*").alias("weight")), "component").select(F.col("node").alias("sign"), "component", "weight"), "nodes")
+    node = written(node.join(node.groupBy("component").agg(F.count("*").alias("weight")), "component").select(F.col("node").alias("sign"), "component", "weight"), "nodes", files)
     now = posts.join(node, "sign", "left").select("token", "sign", "n", F.coalesce("component", "sign").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
     now = written(now, "placed")
     mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
@@ -532,9 +532,9 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     met = met.mapInArrow(_cross_pairs(num, den), "a long, lane int, payload binary").repartition(partitions, "a", "lane").sortWithinPartitions("a", "lane")
     met = written(met.mapInArrow(_often(blocks), "a long, block int, others array<long>"), "met")
     blocked = blocked.join(node.select("sign", "component"), "sign", "left").withColumn("component", F.coalesce("component", "sign"))
-    links = written(first.unionByName(_links(met, blocked, blocks, num, den)), "links")
+    links = written(first.unionByName(_links(met, blocked, blocks, num, den)), "links", 2 * files)
 
-    node = written(components(links, "a", "b"), "components")
+    node = written(components(links, "a", "b"), "components", files)
     placed = counted.join(node.withColumnRenamed("node", "sign"), "sign", "left")
     # a row of an empty set stays by itself
     placed = placed.select("rid", "n", F.when(F.col("n") > 0, F.coalesce("component", "sign")).alias("group"))

@@ -137,7 +137,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
     cut = written(cut if with_ids else cut.drop("ids"), "pieces")
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
     salted = cut.withColumn("salt", salt)
-    groups = written(salted.groupBy("length", "salt").count(), "lengths")
+    groups = written(salted.groupBy("length", "salt").count(), "lengths", max(6, salts // 8))
     histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))

@@ -163,7 +163,7 @@ def judged(docs: DataFrame, doc_text: str = "text", lang: str = "lang", source:
     alike and each counts in the sketches.  An empty table gives no rows.
     """
     narrow = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(doc_text).cast("string").alias("text"))
-    fences = written(thresholds(written(sketches(features(narrow)), "sketches")), "fences")
+    fences = written(thresholds(written(sketches(features(narrow)), "sketches", 8)), "fences", 1)
     fences = fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in fences.columns if c[:3] in ("lo_", "hi_")])
     measured = features(docs, doc_text)
     # a group whose rows all fail the base rules has no fences, and needs none

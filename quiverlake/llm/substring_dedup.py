@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from .kernels import Words, buffers, chunks, mix, pack, pack_sorted, unpack, unpack_sorted
 from .ngram_jaccard import _header, _parts
-from .store import bounded, shuffle_partitions, text_batches, written
+from .store import BROADCAST_ROWS, shuffle_partitions, text_batches, written
 
 #: A run is long enough with this many sentences and words together, or with MANY_WORDS words.
 SENTENCES, WORDS, MANY_WORDS = 3, 20, 50
 #: Runs of a block.
 BLOCK_RUNS = 400_000
+#: Ranges that may be broadcast, besides the limit of their rows.
+BROADCAST_BYTES = 8 << 20
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
@@ -172,6 +174,19 @@ def _span_winners(batches):
         yield settle()
 
 
+def _merged(batches):
+    """All removed ranges of a document -> the fewest ranges that cover the same sentences."""
+    for batch in batches:
+        out = []
+        for blobs in batch.column(2):
+            r = np.frombuffer(b"".join(blobs.as_py()), np.int32).reshape(-1, 2)
+            r = r[np.argsort(r[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(r[:, 1])
+            cut = np.flatnonzero(np.concatenate([[True], r[1:, 0] > reach[:-1]]))
+            out.append(np.stack([r[cut, 0], reach[np.append(cut[1:], len(r)) - 1]], axis=1).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["rid", "tid", "ranges"])
+
+
 def _cut(position: int, ranges: int):
     """Rows with their removed sentence ranges -> rows with the remaining text, and counts."""
 
@@ -191,10 +206,9 @@ def _cut(position: int, ranges: int):
                         words_gone.append(0)
                         continue
                     mark = np.zeros(hi - lo + 1, np.int32)
-                    for blob in removed[i + k]:
-                        r = np.frombuffer(blob, np.int32).reshape(-1, 2)
-                        np.add.at(mark, r[:, 0], 1)
-                        np.add.at(mark, r[:, 1], -1)
+                    r = np.frombuffer(removed[i + k], np.int32).reshape(-1, 2)
+                    mark[r[:, 0]] += 1
+                    mark[r[:, 1]] -= 1
                     out = np.cumsum(mark)[:-1] > 0
                     gone.append(int(out.sum()))
                     words_gone.append(int(s.words[lo:hi][out].sum()))
@@ -241,9 +255,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # own removals need no meeting: spread them
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(partitions)).cast("int")).otherwise(F.col("bucket"))
     lost = sent.withColumn("to", spread).repartition(partitions, "to").sortWithinPartitions("bucket").select("bucket", "payload").mapInArrow(_span_winners, "rid long, tid long, payload binary")
-    lost = written(lost.groupBy("rid", "tid").agg(F.collect_list("payload").alias("ranges")), "spans")
+    lost = lost.groupBy("rid", "tid").agg(F.collect_list("payload").alias("ranges")).mapInArrow(_merged, "rid long, tid long, ranges binary")
+    lost = written(lost, "spans", max(6, partitions // 8))
+    rows, size = lost.agg(F.count("*"), F.sum(F.octet_length("ranges"))).first()
+    small = rows <= BROADCAST_ROWS // 4 and (size or 0) <= BROADCAST_BYTES
     kinds = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    joined = keyed.join(bounded(lost, 200_000), ["rid", "tid"], "left").select(*[f"c{i}" for i in range(len(docs.columns))], "ranges")
+    joined = keyed.join(F.broadcast(lost) if small else lost, ["rid", "tid"], "left").select(*[f"c{i}" for i in range(len(docs.columns))], "ranges")
     out = joined.mapInArrow(_cut(position, len(docs.columns)), f"{kinds}, n_sentences long, n_removed long, words_removed long")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *sorted(added))
 
