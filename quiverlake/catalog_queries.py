@@ -1,4 +1,346 @@
-"""The registered queries of the vector engine, each with SQL for the same rows."""
+"""The registered queries of the vector engine, each with SQL for the same rows.
+
+The collection is made of the embeddings table: id is the number as text, node
+the number itself, and metadata {"bucket", "label", "nested": {"even"}, "tags"}.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metadata as M
+from .functions import vectors as V
+from .operators import filters, ivf, mutations, search
+from .plans import planner
+from .sources import archive, jsonl
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+_META = (
+    """'{"bucket":' || CAST(vec_id % 7 AS VARCHAR) || CASE WHEN vec_id % 5 = 0 THEN '' ELSE ',"label":' || CAST(label AS VARCHAR) || CASE WHEN vec_id % 3 = 0 THEN '.0' ELSE '' END END """
+    """|| ',"nested":{"even":' || CASE WHEN vec_id % 2 = 0 THEN 'true' ELSE 'false' END || '},"tags":[' || CAST(vec_id % 2 AS VARCHAR) || ',"t"]}'"""
+)
+_Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+_L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
+_NORM = "sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = " ".join(sql.split())
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def nodes(spark, sf_dir) -> DataFrame:
+    """The collection's nodes; every eleventh is deleted."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("node"), (F.col("vec_id") % 11 == 0).alias("deleted"), F.col("embedding").alias("vector"), F.expr(_META.replace("VARCHAR", "STRING")).alias("metadata_json")
+    )
+
+
+def records(spark, sf_dir) -> DataFrame:
+    return nodes(spark, sf_dir).select("id", "node", "vector", "metadata_json")
+
+
+def _projected(spark, sf_dir) -> DataFrame:
+    return records(spark, sf_dir).withColumn("meta", M.projection(F.col("metadata_json")))
+
+
+def _first(spark, sf_dir) -> list[float]:
+    """The vector with the smallest id: one row."""
+    return list(records(spark, sf_dir).orderBy("node").select("vector").first()[0])
+
+
+# scans
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS node FROM embeddings WHERE vec_id % 11 <> 0")
+def scan_live(spark, sf_dir):
+    return mutations.live(nodes(spark, sf_dir)).select("id", "node")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, {_META} AS metadata_json FROM embeddings WHERE vec_id = 42")
+def get_by_id(spark, sf_dir):
+    return records(spark, sf_dir).where(F.col("id") == "42").select("id", "metadata_json")
+
+
+@query("SELECT count(*) > 0 AS present FROM embeddings WHERE vec_id = 42")
+def contains_id(spark, sf_dir):
+    return records(spark, sf_dir).where(F.col("id") == "42").agg((F.count("*") > 0).alias("present"))
+
+
+@query("SELECT count(*) AS live FROM embeddings WHERE vec_id % 11 <> 0")
+def count_live(spark, sf_dir):
+    return nodes(spark, sf_dir).where(~F.col("deleted")).agg(F.count("*").alias("live"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS node FROM embeddings WHERE vec_id % 11 <> 0 ORDER BY vec_id LIMIT 100")
+def page_first(spark, sf_dir):
+    return mutations.live(nodes(spark, sf_dir)).orderBy("node").limit(100).select("id", "node")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS node FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id >= 200 ORDER BY vec_id LIMIT 100")
+def page_middle(spark, sf_dir):
+    return mutations.live(nodes(spark, sf_dir)).where("node >= 200").orderBy("node").limit(100).select("id", "node")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, {_META} AS metadata_json FROM embeddings")
+def ingest_jsonl(spark, sf_dir):
+    """Records as JSON lines, parsed strictly again."""
+    lines = records(spark, sf_dir).select(archive._lines("id", "vector", "metadata_json").alias("value"))
+    return lines.select(jsonl._parsed("value").alias("r")).select("r.id", F.size("r.vector").cast("long").alias("dim"), "r.metadata_json")
+
+
+@query("SELECT count(*) AS records, 64 AS dim FROM embeddings")
+def export_manifest(spark, sf_dir):
+    return records(spark, sf_dir).agg(F.count("*").alias("records"), F.max(F.size("vector")).cast("int").alias("dim"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+def archive_duplicates(spark, sf_dir):
+    return archive.duplicates(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id")))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE vec_id % 13 = 0 OR vec_id % 17 = 0")
+def import_verify(spark, sf_dir):
+    """A copy with some rows missing and some vectors changed: just those are found."""
+    r = records(spark, sf_dir)
+    changed = F.when(F.col("node") % 17 == 0, F.transform("vector", lambda x: x + F.lit(0.5).cast("float"))).otherwise(F.col("vector"))
+    return archive.differences(r, r.where("node % 13 <> 0").withColumn("vector", changed))
+
+
+# scalar vector functions
+
+@query(f"SELECT vec_id AS node, {_DOT.format(a='embedding', b='q')} AS dot FROM embeddings, {_Q}")
+def vec_dot(spark, sf_dir):
+    return records(spark, sf_dir).select("node", V.dot(F.col("vector"), V.literal(_first(spark, sf_dir))).alias("dot"))
+
+
+@query(f"SELECT vec_id AS node, {_L2.format(a='embedding', b='q')} AS distance FROM embeddings, {_Q}")
+def vec_l2(spark, sf_dir):
+    return records(spark, sf_dir).select("node", V.distance("l2", F.col("vector"), V.literal(_first(spark, sf_dir))).alias("distance"))
+
+
+@query(f"SELECT vec_id AS node, greatest(0.0::DOUBLE, 1.0::DOUBLE - {_DOT.format(a='embedding', b='q')}) AS distance FROM embeddings, {_Q}")
+def vec_cosine(spark, sf_dir):
+    return records(spark, sf_dir).select("node", V.distance("cosine", F.col("vector"), V.literal(_first(spark, sf_dir))).alias("distance"))
+
+
+@query(f"SELECT vec_id AS node, -({_DOT.format(a='embedding', b='q')}) AS distance FROM embeddings, {_Q}")
+def vec_negdot(spark, sf_dir):
+    return records(spark, sf_dir).select("node", V.distance("dot", F.col("vector"), V.literal(_first(spark, sf_dir))).alias("distance"))
+
+
+@query(f"SELECT vec_id AS node, list_sum(list_transform(embedding, lambda x: CAST(x::DOUBLE / {_NORM.format(a='embedding')} AS FLOAT)::DOUBLE)) AS total FROM embeddings")
+def normalize(spark, sf_dir):
+    total = F.aggregate(V.normalized(F.col("vector")), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return records(spark, sf_dir).select("node", total.alias("total"))
+
+
+@query("SELECT vec_id AS node, CASE WHEN vec_id % 5 = 0 THEN 'dimension' WHEN vec_id % 5 = 1 THEN 'not finite' WHEN vec_id % 5 = 2 THEN 'too large' WHEN vec_id % 5 = 3 THEN 'zero' END AS why FROM embeddings")
+def validate_reasons(spark, sf_dir):
+    v, n = F.col("vector"), F.col("node") % 5
+    spoiled = F.when(n == 0, F.slice(v, 1, 3)).when(n == 1, F.transform(v, lambda x: x * F.lit(float("nan")).cast("float"))).when(n == 2, F.transform(v, lambda x: (x * 1e20).cast("float"))).when(n == 3, F.transform(v, lambda x: x * F.lit(0.0).cast("float"))).otherwise(v)
+    return records(spark, sf_dir).select("node", V.problem(spoiled, 64, "cosine").alias("why"))
+
+
+_SCALE = "CAST(list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE / 127.0 AS FLOAT)"
+_CODES = f"list_transform(embedding, lambda x: CAST(round(CAST(x::DOUBLE / {_SCALE}::DOUBLE AS FLOAT)) AS DOUBLE))"
+
+
+def _coded(spark, sf_dir) -> DataFrame:
+    return records(spark, sf_dir).withColumn("scale", V.int8_scale(F.col("vector"))).withColumn("codes", V.int8_codes(F.col("vector"), F.col("scale")))
+
+
+@query(f"SELECT vec_id AS node, {_SCALE}::DOUBLE AS scale, CAST(list_sum({_CODES}) AS BIGINT) AS code_sum, CAST(list_sum(list_transform({_CODES}, lambda c: c * c)) AS BIGINT) AS code_squares FROM embeddings")
+def int8_encode(spark, sf_dir):
+    fold = lambda f: F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + f(c.cast("long")))
+    return _coded(spark, sf_dir).select("node", F.col("scale").cast("double").alias("scale"), fold(lambda c: c).alias("code_sum"), fold(lambda c: c * c).alias("code_squares"))
+
+
+@query(f"SELECT vec_id AS node, list_sum(list_transform({_CODES}, lambda c: CAST(CAST(c AS FLOAT) * {_SCALE} AS DOUBLE))) AS total FROM embeddings")
+def int8_decode(spark, sf_dir):
+    back = V.int8_decoded(F.col("codes"), F.col("scale"))
+    return _coded(spark, sf_dir).select("node", F.aggregate(back, F.lit(0.0), lambda s, x: s + x.cast("double")).alias("total"))
+
+
+@query(f"SELECT vec_id AS node FROM (SELECT vec_id, {_L2.format(a=f'list_transform({_CODES}, lambda c: CAST(c AS FLOAT) * {_SCALE})', b='q')} AS d FROM embeddings, {_Q}) ORDER BY d, vec_id LIMIT 10")
+def topk_int8(spark, sf_dir):
+    df = _coded(spark, sf_dir).withColumn("back", V.int8_decoded(F.col("codes"), F.col("scale")))
+    return search.top_k(df, _first(spark, sf_dir), 10, "l2", vector="back").select("node")
+
+
+@query(f"SELECT vec_id AS node, 1.0::DOUBLE - greatest(0.0::DOUBLE, 1.0::DOUBLE - {_DOT.format(a='embedding', b='q')}) AS similarity FROM embeddings, {_Q}")
+def similarity(spark, sf_dir):
+    return records(spark, sf_dir).select("node", V.similarity(V.distance("cosine", F.col("vector"), V.literal(_first(spark, sf_dir)))).alias("similarity"))
+
+
+# filters
+
+def _filter(name: str, spec, where: str) -> None:
+    def run(spark, sf_dir):
+        return _projected(spark, sf_dir).where(filters.compiled(spec)).select("node")
+
+    run.__name__ = name
+    query(f"SELECT vec_id AS node FROM embeddings WHERE {where}")(run)
+
+
+_LABEL = "(vec_id % 5 <> 0 AND label"
+_filter("filter_eq", {"bucket": 3}, "vec_id % 7 = 3")
+_filter("filter_in", {"bucket": {"$in": [1, 4, "x"]}}, "vec_id % 7 IN (1, 4)")
+_filter("filter_in_empty", {"bucket": {"$in": []}}, "false")
+_filter("filter_range", {"label": {"$gte": 3, "$lt": 7}}, f"{_LABEL} >= 3 AND label < 7)")
+_filter("filter_and_implicit", {"bucket": {"$lte": 3}, "label": {"$gt": 5}}, f"vec_id % 7 <= 3 AND {_LABEL} > 5)")
+_filter("filter_empty", {}, "true")
+_filter("filter_and", {"$and": [{"bucket": 1}, {"nested.even": True}]}, "vec_id % 7 = 1 AND vec_id % 2 = 0")
+_filter("filter_or", {"$or": [{"bucket": 1}, {"label": 2}]}, f"vec_id % 7 = 1 OR {_LABEL} = 2)")
+_filter("filter_not_missing", {"$not": {"label": {"$gte": 0}}}, "vec_id % 5 = 0")
+_filter("filter_nested", {"nested.even": True}, "vec_id % 2 = 0")
+_filter("filter_num_eq", {"label": 4.0}, f"{_LABEL} = 4)")
+_filter("filter_array_eq", {"tags": [1, "t"]}, "vec_id % 2 = 1")
+
+
+# search
+
+def _topk(name: str, metric: str, expression: str) -> None:
+    def run(spark, sf_dir):
+        return search.top_k(records(spark, sf_dir), _first(spark, sf_dir), 10, metric).select("id", "node", "distance")
+
+    run.__name__ = name
+    query(f"SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS node, {expression} AS distance FROM embeddings, {_Q} ORDER BY distance, node LIMIT 10")(run)
+
+
+_COSINE = f"greatest(0.0::DOUBLE, 1.0::DOUBLE - {_DOT.format(a='embedding', b='q')})"
+_topk("topk_cosine", "cosine", _COSINE)
+_topk("topk_l2", "l2", _L2.format(a="embedding", b="q"))
+_topk("topk_dot", "dot", f"-({_DOT.format(a='embedding', b='q')})")
+_topk("topk_exact", "cosine", _COSINE)
+
+
+@query(f"SELECT vec_id AS node, {_COSINE} AS distance FROM embeddings, {_Q} WHERE vec_id % 7 = 3 ORDER BY distance, node LIMIT 10")
+def topk_filtered_eq(spark, sf_dir):
+    return search.top_k(_projected(spark, sf_dir), _first(spark, sf_dir), 10, "cosine", filters.compiled({"bucket": 3})).select("node", "distance")
+
+
+@query(f"SELECT vec_id AS node, {_COSINE} AS distance FROM embeddings, {_Q} WHERE vec_id % 2 = 0 AND {_LABEL} < 5) ORDER BY distance, node LIMIT 10")
+def topk_filtered_range(spark, sf_dir):
+    return search.top_k(_projected(spark, sf_dir), _first(spark, sf_dir), 10, "cosine", filters.compiled({"nested.even": True, "label": {"$lt": 5}})).select("node", "distance")
+
+
+@query()
+def topk_ann(spark, sf_dir):
+    """Through inverted lists; approximate, so it has no SQL: the tests measure its recall."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    df = records(spark, sf_dir)
+    n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
+    index = ivf.build(df, f"{base}/lists-{uuid.uuid4().hex}", "cosine", n, dim)
+    return ivf.search(index, spark, _first(spark, sf_dir), 10, 64).select("node", "distance")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, {_COSINE} AS distance FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) ORDER BY distance, vec_id LIMIT 5")
+def topk_like(spark, sf_dir):
+    df = records(spark, sf_dir)
+    one = df.where(F.col("id") == "7").select(F.col("vector").alias("q"))  # one row
+    return search.top_k(df.crossJoin(F.broadcast(one)), F.col("q"), 5, "cosine").select("id", "distance")
+
+
+@query(f"SELECT * FROM (SELECT CAST(vec_id AS VARCHAR) AS id, {_COSINE} AS distance FROM embeddings, {_Q} ORDER BY distance, vec_id LIMIT 10) ORDER BY distance, id")
+def topk_portable(spark, sf_dir):
+    return search.portable(search.top_k(records(spark, sf_dir), _first(spark, sf_dir), 10, "cosine").select("id", "distance"))
+
+
+_KNN = """WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS node, {l2} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 {skip}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node) AS rank FROM d)
+ SELECT query_id, CAST(rank AS INTEGER) AS rank, node FROM r WHERE rank <= {k}"""
+
+
+@query(_KNN.format(l2=_L2.format(a="a.embedding", b="b.embedding"), skip="", k=10))
+def knn_batch(spark, sf_dir):
+    df = records(spark, sf_dir)
+    return search.knn(df, df.where("node % 20 = 0"), 10, "l2").select("query_id", "rank", "node")
+
+
+@query(_KNN.format(l2=_L2.format(a="a.embedding", b="b.embedding"), skip="AND a.vec_id <> b.vec_id", k=5))
+def recall_truth(spark, sf_dir):
+    df = records(spark, sf_dir)
+    return search.knn(df, df.where("node % 20 = 0"), 5, "l2", skip_self=True).select("query_id", "rank", "node")
+
+
+_SHARE = f"(SELECT avg(CASE WHEN {_LABEL} < 3) THEN 1.0 ELSE 0.0 END) AS s, count(*) AS n FROM embeddings)"
+
+
+def _selectivity(spark, sf_dir) -> tuple[float, int]:
+    df = _projected(spark, sf_dir).withColumn("deleted", F.lit(False))
+    n = df.count()
+    return planner.selectivity(df, filters.compiled({"label": {"$lt": 3}}), n), n
+
+
+@query(f"SELECT round(s, 9) AS selectivity FROM {_SHARE}")
+def selectivity(spark, sf_dir):
+    """All nodes up to 512 (as at the scale of the SQL check); a seeded sample of 512 beyond."""
+    return spark.createDataFrame([(round(_selectivity(spark, sf_dir)[0], 9),)], "selectivity double")
+
+
+@query(f"SELECT CAST(greatest(least(ceil(64 / greatest(s, 1.0 / n)), n), 10) AS BIGINT) AS adaptive_ef, CASE WHEN n / 64.0 + n * s <= greatest(least(ceil(64 / greatest(s, 1.0 / n)), n), 10) * 8 THEN 'filtered_exact' ELSE 'index' END AS strategy FROM {_SHARE}")
+def explain_plan(spark, sf_dir):
+    share, n = _selectivity(spark, sf_dir)
+    plan = planner.choose(n, n, 64, 10, share)
+    return spark.createDataFrame([(plan.adaptive_ef, plan.strategy)], "adaptive_ef long, strategy string")
+
+
+# mutations and statistics
+
+def _events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("ordinal"), "event_type")
+
+
+@query("SELECT id, node FROM (SELECT CAST(user_id AS VARCHAR) AS id, max(event_id) AS node, max_by(event_type, event_id) AS t FROM events GROUP BY user_id) WHERE t <> 'purchase'")
+def upsert_view(spark, sf_dir):
+    """Events as writes to their user; a purchase deletes."""
+    e = _events(spark, sf_dir).select("id", F.col("ordinal").alias("node"), (F.col("event_type") == "purchase").alias("deleted"))
+    return mutations.live(e).select("id", "node")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def upsert_last_wins(spark, sf_dir):
+    return mutations.last_wins(_events(spark, sf_dir)).select("id", "event_type")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE vec_id % 4 <> 1")
+def delete_view(spark, sf_dir):
+    df = records(spark, sf_dir)
+    return mutations.without(df, df.where("node % 4 = 1")).select("id")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, row_number() OVER (ORDER BY vec_id) - 1 AS node FROM embeddings WHERE vec_id % 11 <> 0")
+def compact_view(spark, sf_dir):
+    return mutations.compacted(nodes(spark, sf_dir)).select("id", "node")
+
+
+@query("SELECT count(*) FILTER (WHERE vec_id % 11 <> 0) AS live, count(*) FILTER (WHERE vec_id % 11 = 0) AS deleted FROM embeddings")
+def stats_counts(spark, sf_dir):
+    return nodes(spark, sf_dir).agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("deleted"))
+
+
+@query("SELECT count(*) * 64 * 4 AS f32_bytes, count(*) * (64 + 4) AS int8_bytes FROM embeddings")
+def stats_bytes(spark, sf_dir):
+    return nodes(spark, sf_dir).agg((F.count("*") * 64 * 4).alias("f32_bytes"), (F.count("*") * (64 + 4)).alias("int8_bytes"))
+
+
+@query(f"SELECT CAST(sum(strlen({_META})) AS BIGINT) AS metadata_bytes FROM embeddings")
+def stats_metadata_bytes(spark, sf_dir):
+    return nodes(spark, sf_dir).agg(F.sum(F.octet_length("metadata_json")).alias("metadata_bytes"))
