@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import named, numbered, place, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights given to the sources in order, again and again.
@@ -64,29 +64,30 @@ def draw(key: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
-    """``docs`` plus _size, _source_size, _target and _copies, how often the mix takes each row.
+def _taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
+    """With numbered columns: plus size, source_size, target and copies."""
+    base = numbered(docs)
+    doc_id, text, source = (place(docs, c) for c in (doc_id, text, source))
+    sums = base.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    small = written(targets(cycled_weights(sums, weights=weights), total, most).select(F.col("source").alias("key"), "source_size", "target"), "sources", 1)
+    both = base.withColumn("size", n_words(F.col(text))).join(small, F.col(source).cast("string").eqNullSafe(F.col("key")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    once = (draw(F.col(doc_id)) < rate - F.floor(rate)).cast("long")
+    return both.withColumn("copies", F.floor(rate) + once)
+
+
+def rates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` plus size, source_size, target and copies, how often the mix takes each row.
 
     Null text: size 0.  A null source is a source of its own, after all others.
     A source of size 0 has target 0 and its rows are taken no time.  Rows with
-    equal ids draw alike.  The added names start with an underscore; a column
-    of ``docs`` with such a name is refused.
+    equal ids draw alike.  An added name that ``docs`` has already gets an
+    underscore at its end.  An empty table gives no rows.
     """
-    added = {"_size", "_source_size", "_target", "_copies"}
-    if clash := added & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    spark = docs.sparkSession
-    sums = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    small = written(targets(cycled_weights(sums, weights=weights), total, most).withColumnRenamed("source", "_key"), "sources", 1)
-    small = small.select("_key", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    sized = docs.withColumn("_size", n_words(F.col(text)))
-    both = sized.join(small, sized[source].eqNullSafe(small["_key"])).drop("_key")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    once = (draw(F.col(doc_id)) < rate - F.floor(rate)).cast("long")
-    return both.withColumn("_copies", F.floor(rate) + once).select(*[both[c] for c in docs.columns], "_size", "_source_size", "_target", "_copies")
+    return named(_taken(docs, **options), docs, ["size", "source_size", "target", "copies"])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
-    taken = rates(docs, **options)
-    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = _taken(docs, **options).where("copies > 0")
+    return named(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs, [])

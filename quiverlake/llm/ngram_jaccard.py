@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import Words, buffers, chunks, mix, pack, pack_sorted, shingles, unpack, unpack_sorted
-from .store import bounded, shuffle_partitions, text_batches, written
+from .store import bounded, named, numbered, place, shuffle_partitions, text_batches, written
 
 #: Entries of a block of the incidence matrix.
 BLOCK_ENTRIES = 1_000_000
@@ -497,7 +497,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     text_batches(spark)
     partitions = shuffle_partitions(spark)
     buckets, files = 2 * partitions, max(6, partitions // 8)
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    base = numbered(docs).select(F.col(place(docs, doc_id)).cast("long").alias("id"), F.col(place(docs, text)).cast("string").alias("text"))
     base = base.select("id", F.coalesce("id", F.xxhash64("text")).alias("rid"), "text")
     bits = min(64, int(base.count()).bit_length() + 20)
 
@@ -545,12 +545,18 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
 
 
 def near_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of its smallest doc_id stays (one row of it, if repeated); rows with a null doc_id stay."""
+    """The rows of ``docs`` without near copies: of each component the row of its smallest doc_id stays (one row of it, if repeated).
+
+    Rows with a null doc_id stay.  Of repeated rows of a document without words one stays too.
+    """
     placed = ngram_jaccard(docs, doc_id=doc_id, text=text)
-    gone = placed.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct()
-    kept = docs.join(bounded(gone), doc_id, "left_anti")
-    many = kept.groupBy(doc_id).count().where("count > 1 and " + doc_id + " is not null").select(doc_id)
+    gone = placed.toDF("gone", "n", "least").where("gone <> least").select("gone").distinct()
+    base, at = numbered(docs), place(docs, doc_id)
+    kept = base.join(bounded(gone), F.col(at).cast("long") == F.col("gone"), "left_anti")
+    many = kept.groupBy(F.col(at).alias("many")).count().where("count > 1 and many is not null").select("many")
+    many = written(many, "many", 6)
     if many.limit(1).count():
-        twice = kept.join(bounded(many), doc_id, "left_semi").dropDuplicates([doc_id])
-        kept = kept.join(bounded(many), doc_id, "left_anti").unionByName(twice.select(*docs.columns))
-    return kept.select(*docs.columns)
+        match = F.col(at) == F.col("many")
+        twice = kept.join(bounded(many), match, "left_semi").dropDuplicates([at])
+        kept = kept.join(bounded(many), match, "left_anti").unionByName(twice)
+    return named(kept, docs, [])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, Words, buffers, chunks, window_hashes
-from .store import text_batches, written
+from .store import named, numbered, place, text_batches, written
 
 #: Growth of the sketches' bins, and the value below which all is one bin.
 GROWTH, FLOOR = 1.02, 1e-4
@@ -91,14 +91,11 @@ def _features(position: int):
     return run
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus the measured counts.  Null text: all 0.  A clash of names is refused."""
-    if clash := set(_NAMES) & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are taken")
+def features(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` (with numbered columns) plus the measured counts of the column ``text``.  Null text: all 0."""
     text_batches(docs.sparkSession)
-    kinds = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    got = docs.mapInArrow(_features(docs.columns.index(text)), f"{kinds}, {FEATURES}")
-    return got.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *_NAMES)
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    return docs.mapInArrow(_features(docs.columns.index(text)), f"{kinds}, {FEATURES}")
 
 
 def base_failed() -> Column:
@@ -155,27 +152,35 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return fenced.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}") for m in MEASURES for e in ("lo", "hi")])
 
 
-def judged(docs: DataFrame, doc_text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` plus the measured counts, base_failed and kept.
-
-    Null text fails the base rules (no words).  A null language or source is a
-    group of its own.  Ties with a fence are kept.  Repeated rows are judged
-    alike and each counts in the sketches.  An empty table gives no rows.
-    """
-    narrow = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(doc_text).cast("string").alias("text"))
-    fences = written(thresholds(written(sketches(features(narrow)), "sketches", 8)), "fences", 1)
-    fences = fences.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in fences.columns if c[:3] in ("lo_", "hi_")])
-    measured = features(docs, doc_text)
+def _judged(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """With numbered columns: plus the counts, base_failed and kept."""
+    base = numbered(docs)
+    text, lang, source = (place(docs, c) for c in (text, lang, source))
+    base = base.withColumn(text, F.col(text).cast("string"))
+    narrow = base.select(F.col(lang).cast("string").alias("c0"), F.col(source).cast("string").alias("c1"), F.col(text).alias("c2"))
+    fences = written(thresholds(written(sketches(features(narrow, "c2"), "c0", "c1"), "sketches", 8)), "fences", 1)
+    fences = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     # a group whose rows all fail the base rules has no fences, and needs none
-    both = measured.join(fences, measured[lang].eqNullSafe(fences["_lang"]) & measured[source].eqNullSafe(fences["_source"]), "left")
+    both = features(base, text).join(fences, F.col(lang).cast("string").eqNullSafe(F.col("_lang")) & F.col(source).cast("string").eqNullSafe(F.col("_source")), "left")
     fine = ~base_failed()
     for name, rate in _rates().items():
         fine = fine & (rate <= F.col(f"hi_{name}"))
         if MEASURES[name][1] == "both":
             fine = fine & (rate >= F.col(f"lo_{name}"))
-    return both.withColumn("base_failed", base_failed()).withColumn("kept", F.coalesce(fine, F.lit(False))).select(*measured.columns, "base_failed", "kept")
+    return both.withColumn("base_failed", base_failed()).withColumn("kept", F.coalesce(fine, F.lit(False)))
+
+
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """``docs`` plus the measured counts, base_failed and kept.
+
+    Null text fails the base rules (no words).  A null language or source is a
+    group of its own.  Ties with a fence are kept.  Repeated rows are judged
+    alike and each counts in the sketches.  An empty table gives no rows.  An
+    added name that ``docs`` has already gets an underscore at its end.
+    """
+    return named(_judged(docs, text, lang, source), docs, [*_NAMES, "base_failed", "kept"])
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows that pass, with the columns of ``docs``."""
-    return judged(docs).where("kept").select(*docs.columns)
+    return named(_judged(docs, "text", "lang", "source").where("kept"), docs, [])

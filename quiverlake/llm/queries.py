@@ -18,12 +18,12 @@ from .warc import archived
 
 
 def op1_mix_sources(spark, sf_dir):
-    taken = rates(table(spark, sf_dir, "documents"))
-    return taken.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    taken = rates(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op2_quality_rules(spark, sf_dir):
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters", "base_failed", "kept")
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters", "base_failed", "kept")
 
 
 def op3_ngram_jaccard(spark, sf_dir):
@@ -31,7 +31,7 @@ def op3_ngram_jaccard(spark, sf_dir):
 
 
 def op4_substring_dedup(spark, sf_dir):
-    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "words_removed")
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_sentences", "n_removed", "words_removed")
 
 
 def op5_html_text(spark, sf_dir):

@@ -85,3 +85,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ... by place, so that no name of theirs can clash with one of ours."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """The numbered name of a column."""
+    return f"c{[c.lower() for c in docs.columns].index(name.lower())}"
+
+
+def named(df: DataFrame, docs: DataFrame, added: list[str]) -> DataFrame:
+    """From numbered() back to the columns of ``docs``, and after them ``added``; an added name that is taken gets underscores at its end."""
+    out = df.select(*[f"c{i}" for i in range(len(docs.columns))], *added)
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in added:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return out.toDF(*docs.columns, *names)

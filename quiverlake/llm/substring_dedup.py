@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .kernels import Words, buffers, chunks, mix, pack, pack_sorted, unpack, unpack_sorted
 from .ngram_jaccard import _header, _parts
-from .store import BROADCAST_ROWS, shuffle_partitions, text_batches, written
+from .store import BROADCAST_ROWS, named, numbered, place, shuffle_partitions, text_batches, written
 
 #: A run is long enough with this many sentences and words together, or with MANY_WORDS words.
 SENTENCES, WORDS, MANY_WORDS = 3, 20, 50
@@ -232,26 +232,20 @@ def _cut(position: int, ranges: int):
     return run
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated spans removed from ``text``, plus n_sentences, n_removed and words_removed.
+_ADDED = ["n_sentences", "n_removed", "words_removed"]
 
-    The first occurrence is that of the smallest doc_id (a null one by a hash of
-    its text), then of the smallest place.  Repeated rows share their fate: the
-    occurrences of rows with equal id and text count as one.  Null text stays
-    null; a document may lose its whole text and then has an empty one.  A clash
-    with the added names is refused.
-    """
-    added = {"n_sentences", "n_removed", "words_removed"}
-    if clash := added & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are taken")
+
+def _deduplicated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """With numbered columns: the remaining text in place, plus _ADDED."""
     spark = docs.sparkSession
     text_batches(spark)
     partitions = shuffle_partitions(spark)
-    rid = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
-    tid = F.xxhash64(F.col(text))
-    keyed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], rid.alias("rid"), tid.alias("tid"))
-    position = docs.columns.index(text)
-    sent = keyed.select("rid", "tid", F.col(f"c{position}").cast("string").alias("text")).mapInArrow(_span_blocks(2 * partitions), "bucket int, payload binary")
+    id_at, text_at = place(docs, doc_id), place(docs, text)
+    base = numbered(docs)
+    base = base.withColumn(text_at, F.col(text_at).cast("string"))
+    tid = F.xxhash64(F.col(text_at))
+    keyed = base.withColumn("rid", F.coalesce(F.col(id_at).cast("long"), tid)).withColumn("tid", tid)
+    sent = keyed.select("rid", "tid", text_at).mapInArrow(_span_blocks(2 * partitions), "bucket int, payload binary")
     # own removals need no meeting: spread them
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(partitions)).cast("int")).otherwise(F.col("bucket"))
     lost = sent.withColumn("to", spread).repartition(partitions, "to").sortWithinPartitions("bucket").select("bucket", "payload").mapInArrow(_span_winners, "rid long, tid long, payload binary")
@@ -259,15 +253,27 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lost = written(lost, "spans", max(6, partitions // 8))
     rows, size = lost.agg(F.count("*"), F.sum(F.octet_length("ranges"))).first()
     small = rows <= BROADCAST_ROWS // 4 and (size or 0) <= BROADCAST_BYTES
-    kinds = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    joined = keyed.join(F.broadcast(lost) if small else lost, ["rid", "tid"], "left").select(*[f"c{i}" for i in range(len(docs.columns))], "ranges")
-    out = joined.mapInArrow(_cut(position, len(docs.columns)), f"{kinds}, n_sentences long, n_removed long, words_removed long")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *sorted(added))
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(base.schema))
+    joined = keyed.join(F.broadcast(lost) if small else lost, ["rid", "tid"], "left").select(*base.columns, "ranges")
+    return joined.mapInArrow(_cut(base.columns.index(text_at), len(base.columns)), f"{kinds}, n_sentences long, n_removed long, words_removed long")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated spans removed from ``text``, plus n_sentences, n_removed and words_removed.
+
+    The first occurrence is that of the smallest doc_id (a null one by a hash of
+    its text), then of the smallest place.  Repeated rows share their fate: the
+    occurrences of rows with equal id and text count as one.  Null text stays
+    null; a document may lose its whole text and then has an empty one.  An added
+    name that ``docs`` has already gets an underscore at its end.
+    """
+    return named(_deduplicated(docs, doc_id, text), docs, _ADDED)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` after removal, with its own columns; n_chars, where there, follows the text.  Documents that lose all their text go."""
-    done = deduplicated(docs, doc_id, text).where(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_sentences"))))
-    if "n_chars" in docs.columns and text != "n_chars":
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    done = _deduplicated(docs, doc_id, text).where(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_sentences"))))
+    if "n_chars" in docs.columns:
+        chars, words = place(docs, "n_chars"), F.col(place(docs, text))
+        done = done.withColumn(chars, F.when(F.col("n_removed") > 0, F.length(words)).otherwise(F.col(chars)).cast(docs.schema["n_chars"].dataType))
+    return named(done, docs, [])
