@@ -15,6 +15,7 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import AlreadyExists, Conflict, CorruptData, InvalidArgument
 from ..functions import metadata as M
@@ -27,7 +28,7 @@ MAX_COLLECTIONS, MAX_LINE = 10_000, 4 << 20
 RELATIVE, ABSOLUTE = 2e-5, 2e-6
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _lines(id: pd.Series, vector: pd.Series, metadata: pd.Series) -> pd.Series:
     def one(i, v, m):
         return json.dumps({"id": i, "metadata": None if m is None else M.parse(m), "vector": [float(x) for x in v]}, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)

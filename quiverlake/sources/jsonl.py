@@ -7,11 +7,12 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
 from ..functions import metadata as M
 
-PARSED = "id string, vector array<double>, metadata_json string, problem string"
+PARSED = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("metadata_json", T.StringType()), T.StructField("problem", T.StringType())])
 
 
 def parse_line(line: str) -> tuple[str, list[float], str | None]:
