@@ -99,11 +99,16 @@ def _removal(rid: np.ndarray, tid: np.ndarray, first: np.ndarray, end: np.ndarra
 
 
 def _losers(h, rid, tid, first, end):
-    """Rows in order of (hash, document, place): a flag for all but the first of each hash."""
+    """Rows in order of (hash, document, place); which open a hash; which come later than its first occurrence.
+
+    The rows of one document that is there twice occur at the same place, so none of them is later.
+    """
     order = np.lexsort((first, tid, rid, h))
-    again = np.zeros(len(order), bool)
-    again[1:] = h[order][1:] == h[order][:-1]
-    return order, again
+    opens = np.ones(len(order), bool)
+    opens[1:] = h[order][1:] != h[order][:-1]
+    top = order[np.flatnonzero(opens)[np.cumsum(opens) - 1]] if len(order) else order
+    later = (rid[order] != rid[top]) | (tid[order] != tid[top]) | (first[order] != first[top])
+    return order, opens, later
 
 
 def _span_blocks(buckets: int):
@@ -115,8 +120,8 @@ def _span_blocks(buckets: int):
         def flush():
             h, rid, tid, first, end = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
-            order, again = _losers(h, rid, tid, first, end)
-            lost, top = order[again], order[~again]
+            order, opens, later = _losers(h, rid, tid, first, end)
+            lost, top = order[later], order[opens]
             rows = []
             own = _removal(rid[lost], tid[lost], first[lost], end[lost])
             sink = pa.BufferOutputStream()
@@ -154,8 +159,8 @@ def _span_winners(batches):
 
     def settle():
         h, rid, tid, first, end = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order, again = _losers(h, rid, tid, first, end)
-        lost = order[again]
+        order, _, later = _losers(h, rid, tid, first, end)
+        lost = order[later]
         return _removal(rid[lost], tid[lost], first[lost], end[lost])
 
     for batch in batches:
