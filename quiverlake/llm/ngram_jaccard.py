@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import Words, buffers, chunks, mix, pack, pack_sorted, shingles, unpack, unpack_sorted
-from .store import bounded, named, numbered, place, shuffle_partitions, text_batches, written
+from .store import bounded, named, numbered, place, shuffle_partitions, spread, text_batches, written
 
 #: Entries of a block of the incidence matrix.
 BLOCK_ENTRIES = 1_000_000
@@ -499,6 +499,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     buckets, files = 2 * partitions, max(6, partitions // 8)
     base = numbered(docs).select(F.col(place(docs, doc_id)).cast("long").alias("id"), F.col(place(docs, text)).cast("string").alias("text"))
     base = base.select("id", F.coalesce("id", F.xxhash64("text")).alias("rid"), "text")
+    base = spread(base, "rid", "text")
     bits = min(64, int(base.count()).bit_length() + 20)
 
     counted = _exchange(base.select("rid", "text"), _text_blocks(buckets, bits, k), _shared_counts, buckets, partitions)
@@ -540,8 +541,10 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     placed = placed.select("rid", "n", F.when(F.col("n") > 0, F.coalesce("component", "sign")).alias("group"))
     ids = base.select("id", "rid").where("id is null").select("rid").distinct()
     placed = placed.join(bounded(ids.withColumn("lost", F.lit(True))), "rid", "left").select(F.when(F.col("lost").isNull(), F.col("rid")).alias("id"), "n", "group")
-    least_id = placed.where("group is not null").groupBy("group").agg(F.min("id").alias("least"))
-    return placed.join(least_id, "group", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    # a row that is alone in its group needs no join
+    groups = placed.where("group is not null").groupBy("group").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    groups = written(groups.select("group", "least"), "groups", files)
+    return placed.join(bounded(groups), "group", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def near_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

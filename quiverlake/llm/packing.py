@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import pack, unpack
-from .store import shuffle_partitions, text_batches, written
+from .store import shuffle_partitions, spread, text_batches, written
 from .tokens import BYTE_BPE, encoder
 
 CAPACITY = 2048
@@ -133,7 +133,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
     text_batches(spark)
     salts = shuffle_partitions(spark)
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    cut = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(_pieces(capacity, tokenizer, path, with_ids), kinds)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    cut = spread(rows, "doc_id", "text").mapInArrow(_pieces(capacity, tokenizer, path, with_ids), kinds)
     cut = written(cut if with_ids else cut.drop("ids"), "pieces")
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
     salted = cut.withColumn("salt", salt)

@@ -6,7 +6,9 @@ edges grow by a fixed factor, so a quantile is exact to that factor.  Sketches
 merge by adding counts, in any order with the same result; a source with few
 rows is judged by the merged sketch of its language or, failing that, of all.
 A document is rejected if a measure lies beyond its group's upper fence,
-``q75 + SPREAD * (q75 - q25) + SLACK``, or below the lower one.
+``q50 + SPREAD * (q50 - q25) + slack``, or below ``q50 - SPREAD * (q75 - q50) -
+slack``.  Each fence is measured on the other side of the median, so odd
+documents don't move it until they are half of their group.
 """
 
 from __future__ import annotations
@@ -19,21 +21,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, Words, buffers, chunks, window_hashes
-from .store import named, numbered, place, text_batches, written
+from .store import named, numbered, place, spread, text_batches, written
 
 #: Growth of the sketches' bins, and the value below which all is one bin.
 GROWTH, FLOOR = 1.02, 1e-4
 #: Rows that a group's own sketch must have to be used.
 GROUP_ROWS = 100
-#: Measure: (slack, fence sides).  The slack is the least excess over the quartile that counts as odd.
+#: Measure: (slack, fence sides).  The slack is the least distance from the median that counts as odd.
 MEASURES = {
     "symbol_rate": (0.02, "upper"),
-    "word_length": (1.0, "both"),
+    "word_length": (1.5, "both"),
     "duplicate_line_rate": (0.34, "upper"),
     "repeat_rate": (0.3, "upper"),
     "stutter_rate": (0.1, "upper"),
 }
-SPREAD = 4.0
+SPREAD = 8.0
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_stutters long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -127,14 +129,14 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
 
 
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, rows, q25, q75) by merging sketches down to ``keys``."""
+    """(keys, measure, rows, q25, q50, q75) by merging sketches down to ``keys``."""
     merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(group))
     value = F.when(F.col("bin") == 0, 0.0).otherwise(F.lit(FLOOR) * F.pow(F.lit(GROWTH), F.col("bin") - 0.5))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), value))
-    return ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+    return ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -147,8 +149,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     slack = F.lit(0.0)
     for name, (s, _) in MEASURES.items():
         slack = F.when(F.col("measure") == name, F.lit(s)).otherwise(slack)
-    reach = (pick("q75") - pick("q25")) * SPREAD + slack
-    fenced = joined.select("lang", "source", "measure", (pick("q25") - reach).alias("lo"), (pick("q75") + reach).alias("hi"))
+    low, middle, high = pick("q25"), pick("q50"), pick("q75")
+    fenced = joined.select("lang", "source", "measure", (middle - (high - middle) * SPREAD - slack).alias("lo"), (middle + (middle - low) * SPREAD + slack).alias("hi"))
     return fenced.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}") for m in MEASURES for e in ("lo", "hi")])
 
 
@@ -156,7 +158,7 @@ def _judged(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """With numbered columns: plus the counts, base_failed and kept."""
     base = numbered(docs)
     text, lang, source = (place(docs, c) for c in (text, lang, source))
-    base = base.withColumn(text, F.col(text).cast("string"))
+    base = spread(base.withColumn(text, F.col(text).cast("string")), text)
     narrow = base.select(F.col(lang).cast("string").alias("c0"), F.col(source).cast("string").alias("c1"), F.col(text).alias("c2"))
     fences = written(thresholds(written(sketches(features(narrow, "c2"), "c0", "c1"), "sketches", 8)), "fences", 1)
     fences = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})

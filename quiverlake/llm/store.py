@@ -79,6 +79,18 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt to all cores if it comes in a few partitions only; as it is otherwise.
+
+    Rows go by a hash of ``columns`` and stay in its order, so that a task that
+    runs again sees the same rows in the same order.
+    """
+    cores, now = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if now > 8 or 2 * now > cores:
+        return df
+    return df.withColumn("_deal", F.xxhash64(*columns)).repartition(cores, "_deal").sortWithinPartitions("_deal").drop("_deal")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

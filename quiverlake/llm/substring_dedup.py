@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .kernels import Words, buffers, chunks, mix, pack, pack_sorted, unpack, unpack_sorted
 from .ngram_jaccard import _header, _parts
-from .store import BROADCAST_ROWS, named, numbered, place, shuffle_partitions, text_batches, written
+from .store import BROADCAST_ROWS, named, numbered, place, shuffle_partitions, spread, text_batches, written
 
 #: A run is long enough with this many sentences and words together, or with MANY_WORDS words.
 SENTENCES, WORDS, MANY_WORDS = 3, 20, 50
@@ -247,13 +247,13 @@ def _deduplicated(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     partitions = shuffle_partitions(spark)
     id_at, text_at = place(docs, doc_id), place(docs, text)
     base = numbered(docs)
-    base = base.withColumn(text_at, F.col(text_at).cast("string"))
+    base = spread(base.withColumn(text_at, F.col(text_at).cast("string")), id_at, text_at)
     tid = F.xxhash64(F.col(text_at))
     keyed = base.withColumn("rid", F.coalesce(F.col(id_at).cast("long"), tid)).withColumn("tid", tid)
     sent = keyed.select("rid", "tid", text_at).mapInArrow(_span_blocks(2 * partitions), "bucket int, payload binary")
     # own removals need no meeting: spread them
-    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(partitions)).cast("int")).otherwise(F.col("bucket"))
-    lost = sent.withColumn("to", spread).repartition(partitions, "to").sortWithinPartitions("bucket").select("bucket", "payload").mapInArrow(_span_winners, "rid long, tid long, payload binary")
+    to = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(partitions)).cast("int")).otherwise(F.col("bucket"))
+    lost = sent.withColumn("to", to).repartition(partitions, "to").sortWithinPartitions("bucket").select("bucket", "payload").mapInArrow(_span_winners, "rid long, tid long, payload binary")
     lost = lost.groupBy("rid", "tid").agg(F.collect_list("payload").alias("ranges")).mapInArrow(_merged, "rid long, tid long, ranges binary")
     lost = written(lost, "spans", max(6, partitions // 8))
     rows, size = lost.agg(F.count("*"), F.sum(F.octet_length("ranges"))).first()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import Words, buffers, chunks
-from .store import hadoop_path, text_batches
+from .store import hadoop_path, spread, text_batches
 from .tokens import BYTE_BPE, encoder
 
 KEYS = ["source", "lang", "version"]
@@ -45,7 +45,7 @@ def document_counts(docs: DataFrame, versions: tuple[str, ...] = (WORDS, BYTE_BP
     """(doc_id, source, lang, version, tokens): a row for each document and tokenizer version.  Null text: 0 tokens."""
     text_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    wide = narrow.mapInArrow(_counts(tuple(versions)), "doc_id long, source string, lang string, " + ", ".join(f"n{i} long" for i in range(len(versions))))
+    wide = spread(narrow, "doc_id", "text").mapInArrow(_counts(tuple(versions)), "doc_id long, source string, lang string, " + ", ".join(f"n{i} long" for i in range(len(versions))))
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.col(f"n{i}").alias("tokens")) for i, v in enumerate(versions)]))
     return wide.select("doc_id", "source", "lang", each.alias("x")).select("doc_id", "source", "lang", "x.version", "x.tokens")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
 from .kernels import _BYTE, _LOWER, SPACE, Words, buffers, chunks, mix
-from .store import text_batches, written
+from .store import spread, text_batches, written
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 40_000
@@ -284,5 +284,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``, from its text alone.  Null text scores as an empty one; a null id is not held out."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
+    out = spread(rows, "doc_id", "text").mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -64,18 +64,17 @@ def verdicts(rows, growth, floor, group_rows, spread, rules):
     def quartiles(keep, name):
         bins = sorted(0 if r[name] <= floor else math.ceil(math.log(r[name] / floor) / math.log(growth)) for r, k in zip(rate, keep, strict=True) if k)
         value = lambda b: 0.0 if b == 0 else floor * growth ** (b - 0.5)
-        return len(bins), *(value(bins[math.ceil(len(bins) * q) - 1]) for q in (0.25, 0.75))
+        return len(bins), *(value(bins[math.ceil(len(bins) * q) - 1]) for q in (0.25, 0.5, 0.75))
 
     out = []
     for i, (_, lang, source) in enumerate(rows):
         ok = fine[i]
         for name, (slack, side) in rules.items() if ok else ():
             for key in (lambda r: r[1:] == (lang, source), lambda r: r[1] == lang, lambda r: True):
-                n, lo, hi = quartiles([f and key(r) for r, f in zip(rows, fine, strict=True)], name)
+                n, lo, mid, hi = quartiles([f and key(r) for r, f in zip(rows, fine, strict=True)], name)
                 if n >= group_rows:
                     break
-            reach = (hi - lo) * spread + slack
-            ok = ok and rate[i][name] <= hi + reach and (side == "upper" or rate[i][name] >= lo - reach)
+            ok = ok and rate[i][name] <= mid + (mid - lo) * spread + slack and (side == "upper" or rate[i][name] >= mid - (hi - mid) * spread - slack)
         out.append(ok)
     return out
 
