@@ -10,6 +10,7 @@ from .mixing import rates
 from .ngram_jaccard import ngram_jaccard
 from .packing import packed
 from .quality import judged
+from .sql import SQL  # noqa: F401
 from .store import new_folder, table, written
 from .substring_dedup import deduplicated
 from .token_counts import TokenRollup, deletes, document_counts, inserts, revisions
@@ -70,26 +71,3 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_ngram_jaccard, op4_substring_dedup, op5_html_text, op6_toxicity, op7_ann, op8_best_fit_packing, op9_token_counts, op10_warc)}
-
-_WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
-
-SQL: dict[str, str] = {
-    "op1_mix_sources": f"""
-WITH d AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM s),
-r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio FROM w),
-l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS level
-      FROM r WINDOW b AS (ORDER BY ratio, weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-x AS (SELECT min_by(level, ratio) AS x FROM l WHERE level <= ratio),
-t AS (SELECT source, source_size, CASE WHEN x IS NULL THEN cap ELSE least(cap, x * weight) END AS target FROM l, x),
-c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-      CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""",
-    "op10_warc": """
-WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> last THEN last END AS refers_to FROM m""",
-}
