@@ -13,7 +13,8 @@ from .functions import metadata as M
 from .functions import vectors as V
 from .operators import filters, ivf, mutations, search
 from .plans import planner
-from .sources import archive, jsonl
+from .sources import archive, files, jsonl
+from .sources.database import Database
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -241,13 +242,9 @@ def topk_filtered_range(spark, sf_dir):
 @query()
 def topk_ann(spark, sf_dir):
     """Through inverted lists; approximate, so it has no SQL: the tests measure its recall."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
     df = records(spark, sf_dir)
     n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
-    index = ivf.build(df, f"{base}/lists-{uuid.uuid4().hex}", "cosine", n, dim)
+    index = ivf.build(df, files.shared(spark, "lists"), "cosine", n, dim)
     return ivf.search(index, spark, _first(spark, sf_dir), 10, 64).select("node", "distance")
 
 
@@ -280,6 +277,16 @@ def recall_truth(spark, sf_dir):
     return search.knn(df, df.where("node % 20 = 0"), 5, "l2", skip_self=True).select("query_id", "rank", "node")
 
 
+@query()
+def recall_report(spark, sf_dir):
+    """A database of all the vectors, and how many exact neighbours its index finds (of a sample: that is the feature)."""
+    df = records(spark, sf_dir)
+    with Database.create(spark, files.shared(spark, "recall")) as db:
+        c = db.create_collection("embeddings", df.agg(F.max(F.size("vector"))).first()[0], "cosine")
+        c.upsert_frame(df.select("id", "vector", "metadata_json"))
+        return c.estimate_recall(10, 20, (16, 64))
+
+
 _SHARE = f"(SELECT avg(CASE WHEN {_LABEL} < 3) THEN 1.0 ELSE 0.0 END) AS s, count(*) AS n FROM embeddings)"
 
 

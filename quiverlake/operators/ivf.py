@@ -19,6 +19,8 @@ from .search import _distances, top_k
 
 #: Numbers in the sample that centroids are fitted on; lists at most; candidates scanned for each unit of ef.
 SAMPLE_NUMBERS, LISTS, PER_EF = 4_000_000, 4_096, 8
+#: Numbers of a list that one task writes (about).
+FILE_NUMBERS = 16_000_000
 
 
 @dataclass
@@ -63,10 +65,12 @@ def build(records: DataFrame, path: str, metric: str, rows: int, dim: int, seed:
     centers = _fit(sample, lists, metric, seed) if len(sample) else np.zeros((1, dim))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema) + ", list int"
     placed = records.mapInArrow(_assign(centers), kinds)
-    placed.repartition("list").write.partitionBy("list").parquet(path)
     sizes = np.zeros(len(centers), np.int64)
-    for r in records.sparkSession.read.parquet(path).groupBy("list").count().collect():
+    for r in records.select(F.col("vector").cast("array<float>").alias("vector")).mapInArrow(_assign(centers), "vector array<float>, list int").groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
+    # a list is written by as many tasks as its size asks for
+    pieces = F.element_at(F.array(*[F.lit(int(p)) for p in np.maximum(1, -(-sizes * dim // FILE_NUMBERS))]), F.col("list") + 1)
+    placed.repartition("list", F.pmod(F.xxhash64("node"), pieces)).write.partitionBy("list").parquet(path)
     return Lists(path, metric, centers, sizes)
 
 

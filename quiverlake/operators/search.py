@@ -1,9 +1,9 @@
 """Top-k search.
 
 One query: a distance expression and ``TakeOrderedAndProject``, which keeps k
-rows for each task.  Many queries: an Arrow kernel multiplies blocks of vectors
-by blocks of queries and keeps each task's best k of each query, so only
-``tasks * queries * k`` rows are merged.  Exact results come from the double
+rows for each task.  Many queries: an Arrow kernel multiplies lanes of vectors
+by blocks of queries and keeps each lane's best k of each query, so only
+``lanes * queries * k`` rows are merged.  Exact results come from the double
 precision expression; the kernel re-scores what it keeps the same way.
 """
 
@@ -13,12 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..errors import InvalidArgument
 from ..functions import vectors as V
 
-#: Queries that one kernel pass holds; more are searched in turns of this many.
-QUERY_BLOCK = 4_096
+#: Queries of a block, and candidates that they are multiplied by at a time.
+QUERY_BLOCK, TILE = 512, 8_192
+#: Numbers that a lane of candidates has at most (about), and rows that are worth a lane of their own.
+LANE_NUMBERS, LANE_ROWS = 8_000_000, 500
 
 
 def check_k(k: int, most: int | None = None) -> None:
@@ -58,56 +61,89 @@ def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(0.0, 1.0 - fold) if metric == "cosine" else -fold
 
 
-def _best(qid: np.ndarray, q: np.ndarray, k: int, metric: str, skip_self: bool):
+def _nearest(qid: np.ndarray, q: np.ndarray, node: np.ndarray, x: np.ndarray, k: int, metric: str, skip_self: bool) -> pa.RecordBatch:
+    """The k best of the candidates for each query, tile by tile."""
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    for at in range(0, len(x), TILE):
+        n, y = node[at : at + TILE], x[at : at + TILE]
+        d = _distances(q, y, metric)
+        if skip_self:
+            d[qid[:, None] == n[None, :]] = np.inf
+        keep = min(len(n), k + 8)  # a margin for the rounding of the product
+        near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
+        i, j = np.repeat(np.arange(len(q)), keep), near.reshape(-1)
+        ok = np.isfinite(d[i, j])
+        i, j = i[ok], j[ok]
+        i, m, s = (np.concatenate(c) for c in zip(best, (i, n[j], _exact(q[i], y[j], metric)), strict=True))
+        order = np.lexsort((m, s, i))
+        i, m, s = i[order], m[order], s[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        best = [i[first], m[first], s[first]]
+    return pa.RecordBatch.from_arrays([pa.array(qid[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "node", "distance"])
+
+
+def _query_blocks(single: bool):
+    """Queries -> blocks of them, packed."""
+    kind = np.float32 if single else np.float64
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                ids, x = np.asarray(part.column(0), np.int64).tobytes(), np.asarray(part.column(1).flatten(), kind).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([x], pa.binary())], names=["ids", "packed"])
+
+    return run
+
+
+def _lanes(k: int, metric: str, skip_self: bool, single: bool):
+    """A lane's candidates, then the blocks of queries that ask it -> their best k in the lane."""
+    kind = np.float32 if single else np.float64
+
     def run(batches):
+        now, nodes, rows = None, [], []
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            node = np.asarray(batch.column(0), np.int64)
-            x = np.asarray(batch.column(1).flatten(), np.float64).reshape(n, -1)
-            d = _distances(q, x, metric)
-            if skip_self:
-                d[qid[:, None] == node[None, :]] = np.inf
-            keep = min(n, k + 8)  # a margin for the rounding of the product
-            at = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < n else np.broadcast_to(np.arange(n), (len(q), n))
-            i, j = np.repeat(np.arange(len(q)), at.shape[1]), at.reshape(-1)
-            ok = np.isfinite(d[i, j])
-            i, j = i[ok], j[ok]
-            s = _exact(q[i], x[j], metric)
-            order = np.lexsort((node[j], s, i))
-            i, j, s = i[order], j[order], s[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i) < k
-            yield pa.RecordBatch.from_arrays([pa.array(qid[i[best]]), pa.array(node[j[best]]), pa.array(s[best])], names=["query_id", "node", "distance"])
+            lane, asks = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero((lane[1:] != lane[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *edge], [*edge, len(lane)], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if lane[a] != now:
+                    now, nodes, rows = lane[a], [], []
+                if not asks[a]:
+                    nodes.append(np.asarray(part.column(2), np.int64))
+                    rows.append(np.asarray(part.column(3).flatten(), np.float64).reshape(b - a, -1))
+                    continue
+                if not nodes:
+                    continue
+                nodes, rows = [np.concatenate(nodes)], [np.concatenate(rows)]
+                for ids, packed in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                    qid = np.frombuffer(ids, np.int64)
+                    yield _nearest(qid, np.frombuffer(packed, kind).astype(np.float64).reshape(len(qid), -1), nodes[0], rows[0], k, metric, skip_self)
 
     return run
 
 
 def knn(records: DataFrame, queries: DataFrame, k: int, metric: str, skip_self: bool = False, vector: str = "vector") -> DataFrame:
-    """(query_id, rank, node, distance): the k nearest records of every query; exact.
+    """(query_id, rank, node, distance): the k nearest records of every query (node, vector); exact.
 
-    queries: (node, vector), taken in turns of QUERY_BLOCK, each turn one scan of
-    the records with its queries in the kernel.
+    The records are dealt to lanes of at most about LANE_NUMBERS numbers, every
+    block of queries asks every lane, and the lanes' best k are merged; neither
+    side passes through the driver.
     """
     check_k(k)
     metric = V.metric(metric)
     spark = records.sparkSession
-    base = records.select(F.col("node").cast("long"), F.col(vector))
-    rows = queries.select(F.col("node").cast("long"), F.col(vector)).orderBy("node")
-    out, turn = None, []
-
-    def search(block):
-        qid = np.array([r[0] for r in block], np.int64)
-        q = np.array([r[1] for r in block], np.float64)
-        return base.mapInArrow(_best(qid, q, k, metric, skip_self), "query_id long, node long, distance double")
-
-    for row in rows.toLocalIterator():
-        turn.append(row)
-        if len(turn) == QUERY_BLOCK:
-            out = search(turn) if out is None else out.unionByName(search(turn))
-            turn = []
-    if turn or out is None:
-        found = search(turn) if turn else spark.createDataFrame([], "query_id long, node long, distance double")
-        out = found if out is None else out.unionByName(found)
+    base = records.select(F.col("node").cast("long").alias("node"), F.col(vector).alias("vector"))
+    single = queries.schema[vector].dataType.elementType == FloatType()
+    n, dim = base.agg(F.count("*"), F.max(F.size("vector"))).first()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    lanes = max(1, -(-n * (dim or 0) // LANE_NUMBERS), min(partitions, n // LANE_ROWS))
+    own = base.select(F.pmod(F.xxhash64("node"), F.lit(lanes)).cast("int").alias("lane"), F.lit(False).alias("asks"), "node", "vector", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("packed"))
+    asked = queries.select(F.col("node").cast("long").alias("node"), F.col(vector)).mapInArrow(_query_blocks(single), "ids binary, packed binary")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("node"), F.lit(None).cast(base.schema["vector"].dataType).alias("vector"), "ids", "packed")
+    met = own.unionByName(asked).repartition(min(lanes, partitions), "lane").sortWithinPartitions("lane", "asks")
+    found = met.mapInArrow(_lanes(k, metric, skip_self, single), "query_id long, node long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "node")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "node", "distance")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "node", "distance")

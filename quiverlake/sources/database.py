@@ -9,14 +9,16 @@ started from the same number gets Conflict.
 from __future__ import annotations
 
 import base64
+import bisect
 import copy
+import itertools
 import json
 import time
 import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, Conflict, CorruptData, InvalidArgument, NotFound
@@ -31,6 +33,8 @@ FORMAT = 1
 RECORD = "id string, ordinal long, vector array<float>, metadata_json string"
 STORED = "id string, node long, deleted boolean, vector array<float>, codes array<tinyint>, scale float, metadata_json string"
 MAX_BATCH, MAX_ID_BYTES = 256, 65_536
+#: Numbers of nodes that are counted together when a sample is drawn; a power of two.
+NODE_SPAN = 65_536
 
 
 @dataclass(frozen=True)
@@ -500,15 +504,27 @@ class Collection:
         if k < 1 or sample < 1 or not ef_values or min(ef_values) < 1:
             raise InvalidArgument("k, sample and ef values must be greater than zero")
         base = self.records()
-        alive = [r["node"] for r in base.select("node").orderBy("node").toLocalIterator()]
-        if len(alive) < 2:
+        # the sample is drawn by ordinal among the live records; only counts of node ranges come to the driver
+        span = F.col("node").cast("long").bitwiseAND(F.lit(-NODE_SPAN)).alias("span")
+        counts = base.groupBy(span).count().orderBy("span").collect()
+        live = sum(r["count"] for r in counts)
+        if live < 2:
             raise InvalidArgument("recall needs at least two records")
-        rng, take = planner.SplitMix64(seed), min(sample, len(alive))
+        rng, take, moved, drawn = planner.SplitMix64(seed), min(sample, live), {}, []
         for i in range(take):
-            j = i + rng.below(len(alive) - i)
-            alive[i], alive[j] = alive[j], alive[i]
-        k = min(k, len(alive) - 1)
-        queries = base.join(F.broadcast(self.spark.createDataFrame([(n,) for n in alive[:take]], "node long")), "node")
+            j = i + rng.below(live - i)
+            drawn.append(moved.get(j, j))
+            moved[j] = moved.get(i, i)
+        ends = list(itertools.accumulate(r["count"] for r in counts))
+        wanted = []
+        for ordinal in drawn:
+            at = bisect.bisect_right(ends, ordinal)
+            wanted.append((counts[at]["span"], ordinal - (ends[at] - counts[at]["count"]) + 1))
+        asked = self.spark.createDataFrame(wanted, "span long, place int")
+        spans = base.withColumn("span", span).join(F.broadcast(asked.select("span").distinct()), "span")
+        spans = spans.withColumn("place", F.row_number().over(Window.partitionBy("span").orderBy("node")))
+        queries = spans.join(F.broadcast(asked), ["span", "place"]).drop("span", "place")
+        k = min(k, live - 1)
         truth = search.knn(base, queries, k, self.config.metric, skip_self=True).select("query_id", "node")
         rows, index = queries.select("node", "vector").collect(), self._index()
         true = {}

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from quiverlake import catalog_queries as Q
@@ -42,6 +43,35 @@ def test_ann_finds_most(spark):
     assert len(ann & exact) >= 9
 
 
+def test_recall_report(spark):
+    rows = sorted(Q.QUERIES["recall_report"](spark, DATA).collect())
+    assert [r["ef"] for r in rows] == [16, 64] and rows[1]["recall"] >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_knn_over_many_lanes_matches_brute_force(spark, monkeypatch, metric):
+    """Small lanes, blocks and tiles, with repeated vectors: ties go to the earlier node."""
+    monkeypatch.setattr(search, "LANE_NUMBERS", 900)
+    x = np.random.default_rng(5).integers(-3, 4, (150, 6)).astype(np.float32)
+    x[(x == 0).all(1)] = 1
+    x[100:] = x[:50]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<float>")
+    got = {(r["query_id"], r["rank"]): (r["node"], r["distance"]) for r in search.knn(df, df.where("node % 3 = 0"), 7, metric, skip_self=True).collect()}
+    assert len(got) == 50 * 7
+    for i in range(0, 150, 3):
+        a, b = x[i].astype(float), x.astype(float)
+        d = [sum((p - q) ** 2 for p, q in zip(a, r)) if metric == "l2" else max(0.0, 1 - sum(p * q for p, q in zip(a, r))) if metric == "cosine" else -sum(p * q for p, q in zip(a, r)) for r in b]
+        expected = sorted((v, n) for n, v in enumerate(d) if n != i)[:7]
+        assert [got[i, k + 1][1] for k in range(7)] == pytest.approx([v for v, _ in expected], abs=1e-12)
+
+
+def test_knn_of_empty_sides(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "node long, vector array<float>")
+    none = df.where("false")
+    assert search.knn(none, df, 3, "l2").count() == 0 and search.knn(df, none, 3, "l2").count() == 0
+
+
 def test_single_query_plan(spark):
     plan = search.top_k(Q.records(spark, DATA), [0.0] * 64, 10, "l2")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
