@@ -6,7 +6,7 @@ import pytest
 
 from quiverlake import cli
 from quiverlake.errors import AlreadyExists, Conflict, CorruptData, InvalidArgument, NotFound
-from quiverlake.sources import archive, files, jsonl
+from quiverlake.sources import archive, database, files, jsonl
 from quiverlake.sources.database import CheckpointPolicy, Database
 from quiverlake.streaming.upserts import upsert_stream
 
@@ -125,6 +125,18 @@ def test_cursor_is_bound_to_its_state(spark, place):
         c.page(cursor)
 
 
+def test_recall_sample_ignores_how_nodes_are_counted(spark, place, monkeypatch):
+    rng = np.random.default_rng(3)
+    with Database.create(spark, place) as db:
+        c = db.create_collection("c", 8, "l2")
+        c.upsert_many([(str(i), rng.normal(size=8).tolist(), None) for i in range(200)])
+        for i in (0, 63, 64, 150):
+            c.delete(str(i))
+        one = c.estimate_recall(3, 15, [8]).collect()
+        monkeypatch.setattr(database, "NODE_SPAN", 32)
+        assert c.estimate_recall(3, 15, [8]).collect() == one
+
+
 def test_index_recall_and_filters(spark, place):
     db = Database.create(spark, place)
     c = db.create_collection("x", 16, "cosine", m=8)
