@@ -217,7 +217,7 @@ def _sum_block(table: pa.Table) -> pa.Table:
 
 def _exchange(df: DataFrame, kernel, reply, buckets: int, partitions: int) -> DataFrame:
     sent = df.mapInArrow(kernel, "block long, bucket int, payload binary")
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(reply, "block long, bucket int, payload binary")
+    return sent.repartitionById(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(reply, "block long, bucket int, payload binary")
 
 
 def _text_sets(k: int):
@@ -481,7 +481,7 @@ def _links(asked: DataFrame, sets: DataFrame, blocks: int, num: int, den: int) -
     own = sets.select("block", "sign", "component", "tokens", F.lit(None).cast("array<long>").alias("others"))
     askers = asked.join(sets.select(F.col("sign").alias("a"), "component", "tokens"), "a").select("block", F.col("a").alias("sign"), "component", "tokens", "others")
     both = own.unionByName(askers).withColumn("asks", F.col("others").isNotNull())
-    both = both.repartition(shuffle_partitions(sets.sparkSession), "block").sortWithinPartitions("block", "asks").drop("asks")
+    both = both.repartitionById(shuffle_partitions(sets.sparkSession), "block").sortWithinPartitions("block", "asks").drop("asks")
     return both.mapInArrow(_block_product(num, den), "a long, b long")
 
 
