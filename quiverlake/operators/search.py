@@ -143,7 +143,7 @@ def knn(records: DataFrame, queries: DataFrame, k: int, metric: str, skip_self:
     own = base.select(F.pmod(F.xxhash64("node"), F.lit(lanes)).cast("int").alias("lane"), F.lit(False).alias("asks"), "node", "vector", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("packed"))
     asked = queries.select(F.col("node").cast("long").alias("node"), F.col(vector)).mapInArrow(_query_blocks(single), "ids binary, packed binary")
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("node"), F.lit(None).cast(base.schema["vector"].dataType).alias("vector"), "ids", "packed")
-    met = own.unionByName(asked).repartition(min(lanes, partitions), "lane").sortWithinPartitions("lane", "asks")
+    met = own.unionByName(asked).repartitionById(min(lanes, partitions), "lane").sortWithinPartitions("lane", "asks")
     found = met.mapInArrow(_lanes(k, metric, skip_self, single), "query_id long, node long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "node")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "node", "distance")
