@@ -1,9 +1,10 @@
 """Approximate search: inverted lists as a Parquet table partitioned by list.
 
 Centroids come from a bounded sample; every live vector is dealt to its nearest
-one.  A search probes the lists nearest to the query until they hold its budget
-of candidates; Catalyst prunes the others' files, and the filter runs before any
-distance.  Budgets are the planner's ``ef``, so a narrow filter probes more.
+one.  A search probes as many of the lists nearest to the query as hold, by
+measurement on the sample, nearly all of the ``ef`` nearest vectors; Catalyst
+prunes the others' files, and the filter runs before any distance.  ``ef`` is the
+planner's, so a narrow filter probes more.
 """
 
 from __future__ import annotations
@@ -17,20 +18,27 @@ from pyspark.sql import functions as F
 
 from .search import _distances, top_k
 
-#: Numbers in the sample that centroids are fitted on; lists at most; candidates scanned for each unit of ef.
+#: Numbers in the sample that centroids are fitted on; lists at most; candidates scanned at least for each unit of ef.
 SAMPLE_NUMBERS, LISTS, PER_EF = 4_000_000, 4_096, 8
+#: Share of the ef nearest vectors that probed lists must hold; sampled queries it is measured with, and their neighbours.
+COVERAGE, ASKED, DEPTH = 0.975, 256, 1_024
 #: Numbers of a list that one task writes (about).
 FILE_NUMBERS = 16_000_000
 
 
 @dataclass
 class Lists:
-    """A built index: where its table is, its centroids, and how many vectors each list holds."""
+    """A built index: where its table is, its centroids, how many vectors each list holds, and how far searches must reach.
+
+    ``reach[j]`` lists hold COVERAGE of the j + 1 nearest vectors in the sample, which is ``share`` of all.
+    """
 
     path: str
     metric: str
     centers: np.ndarray
     sizes: np.ndarray
+    reach: np.ndarray
+    share: float
 
 
 def _fit(x: np.ndarray, lists: int, metric: str, seed: int) -> np.ndarray:
@@ -44,6 +52,27 @@ def _fit(x: np.ndarray, lists: int, metric: str, seed: int) -> np.ndarray:
     return centers
 
 
+def _order(q: np.ndarray, centers: np.ndarray, metric: str) -> np.ndarray:
+    """The lists, nearest to each query first."""
+    return np.argsort(_distances(q, centers, "l2" if metric == "l2" else "dot"), axis=1, kind="stable")
+
+
+def _reach(x: np.ndarray, centers: np.ndarray, metric: str, seed: int) -> np.ndarray:
+    """How many lists hold COVERAGE of the 1, 2, ... nearest others of sampled vectors; a vector that is repeated is asked once."""
+    distinct = np.sort(np.unique(x, axis=0, return_index=True)[1])
+    asked = np.random.default_rng(seed + 1).permutation(distinct)[:ASKED]
+    own = np.concatenate([_distances(x[i : i + 4096], centers, "l2").argmin(1) for i in range(0, len(x), 4096)])
+    depth, ranks = min(DEPTH, len(x) - 1), []
+    for at in range(0, len(asked), 32):
+        some = asked[at : at + 32]
+        d = _distances(x[some], x, metric)
+        d[np.arange(len(some)), some] = np.inf
+        found = np.argsort(d, axis=1, kind="stable")[:, :depth]
+        ranks.append(np.take_along_axis(np.argsort(_order(x[some], centers, metric), axis=1), own[found], axis=1))
+    held = np.cumsum([np.bincount(r, minlength=len(centers)) for r in np.concatenate(ranks).T], axis=0).reshape(depth, len(centers)).cumsum(axis=1)
+    return np.maximum.accumulate((held < COVERAGE * held[:, -1:]).sum(axis=1) + 1)
+
+
 def _assign(centers: np.ndarray):
     def run(batches):
         for batch in batches:
@@ -71,14 +100,21 @@ def build(records: DataFrame, path: str, metric: str, rows: int, dim: int, seed:
     # a list is written by as many tasks as its size asks for
     pieces = F.element_at(F.array(*[F.lit(int(p)) for p in np.maximum(1, -(-sizes * dim // FILE_NUMBERS))]), F.col("list") + 1)
     placed.repartition("list", F.pmod(F.xxhash64("node"), pieces)).write.partitionBy("list").parquet(path)
-    return Lists(path, metric, centers, sizes)
+    reach = _reach(sample, centers, metric, seed) if len(sample) else np.zeros(0, int)
+    return Lists(path, metric, centers, sizes, reach, min(1.0, len(sample) / max(1, rows)))
 
 
 def probed(index: Lists, query: np.ndarray, ef: int) -> list[int]:
-    """The lists nearest to the query that hold PER_EF * ef vectors together."""
-    near = np.argsort(_distances(query[None, :], index.centers, "l2" if index.metric == "l2" else "dot")[0], kind="stable")
+    """The lists nearest to the query that hold COVERAGE of its ef nearest vectors, and PER_EF * ef vectors together.
+
+    All lists where the ef nearest are more than were measured.
+    """
+    near = _order(query[None, :], index.centers, index.metric)[0]
     enough = np.searchsorted(np.cumsum(index.sizes[near]), PER_EF * ef) + 1
-    return [int(x) for x in near[:enough]]
+    depth = len(index.reach)
+    # the sample's ef nearest lie farther out than the collection's
+    reach = index.reach[min(ef, depth) - 1] if depth and ef * index.share <= depth else len(near)
+    return [int(x) for x in near[: max(enough, reach)]]
 
 
 def search(index: Lists, spark, query, k: int, ef: int, where: Column | None = None) -> DataFrame:

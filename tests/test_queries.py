@@ -5,13 +5,15 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quiverlake import catalog_queries as Q
-from quiverlake.operators import search
+from quiverlake.operators import ivf, search
 from quiverlake.functions import vectors as V
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
@@ -43,6 +45,47 @@ def test_ann_finds_most(spark):
     assert len(ann & exact) >= 9
 
 
+def _found(spark, folder, df, metric, k=10, ef=64, asked=60):
+    """Share of the exact neighbours of stored vectors that lie in the lists an index probes."""
+    n, dim = df.count(), len(df.first()["vector"])
+    index = ivf.build(df, folder, metric, n, dim)
+    rows = spark.read.parquet(index.path).toArrow()
+    x, own = np.array(rows["vector"].to_pylist(), float), np.asarray(rows["list"].combine_chunks())
+    hits = 0
+    for q in np.random.default_rng(9).choice(n, asked, replace=False):
+        d = search._distances(x[q : q + 1], x, metric)[0]
+        d[q] = np.inf
+        hits += np.isin(own[np.argpartition(d, k)[:k]], ivf.probed(index, x[q], ef)).sum()
+    return hits / (k * asked)
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test data")
+def test_ann_recall_on_sf01(spark, tmp_path):
+    """2,000 rows are more than a budget of candidates holds."""
+    df = Q.records(spark, LARGER).withColumn("meta", F.lit(None).cast("string"))
+    assert _found(spark, f"file://{tmp_path}/lists", df, "cosine") >= 0.95
+    ann, exact = ({r["node"] for r in Q.QUERIES[name](spark, LARGER).collect()} for name in ("topk_ann", "topk_cosine"))
+    assert len(ann & exact) >= 9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_ann_recall_keeps_with_size(spark, tmp_path, monkeypatch, metric):
+    """A sample of 4,000 of 40,000 vectors sets how far searches reach."""
+    monkeypatch.setattr(ivf, "SAMPLE_NUMBERS", 4000 * 32)
+    x = np.random.default_rng(4).standard_normal((40_000, 32))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+    df = spark.createDataFrame(pa.table({"node": np.arange(len(x)), "id": np.arange(len(x)).astype(str), "vector": pa.FixedSizeListArray.from_arrays(x.astype(np.float32).reshape(-1), 32).cast(pa.list_(pa.float32()))}))
+    assert _found(spark, f"file://{tmp_path}/lists", df, metric) >= 0.95
+
+
+def test_ann_reach_grows_with_ef(spark, tmp_path):
+    df = Q.records(spark, DATA)
+    index = ivf.build(df, f"file://{tmp_path}/lists", "cosine", 500, 64)
+    q = np.array(df.first()["vector"], float)
+    lists = [ivf.probed(index, q, ef) for ef in (1, 8, 64, 500, 10_000)]
+    assert all(set(a) <= set(b) for a, b in zip(lists, lists[1:], strict=False)) and len(lists[-1]) == len(index.centers)
+
+
 def test_recall_report(spark):
     rows = sorted(Q.QUERIES["recall_report"](spark, DATA).collect())
     assert [r["ef"] for r in rows] == [16, 64] and rows[1]["recall"] >= 0.9
