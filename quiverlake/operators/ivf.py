@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from .search import _distances, top_k
 
 #: Numbers in the sample that centroids are fitted on; lists at most; candidates scanned at least for each unit of ef.
@@ -121,3 +122,15 @@ def search(index: Lists, spark, query, k: int, ef: int, where: Column | None = N
     lists = probed(index, np.asarray(query, np.float64), ef)
     rows = spark.read.parquet(index.path).where(F.col("list").isin(lists))
     return top_k(rows, query, k, index.metric, where)
+
+
+def within_reach(index: Lists, spark, query, k: int, ef: int, hits: DataFrame) -> bool:
+    """Whether ``hits`` of a filtered search are k and lie among the ef nearest vectors of the probed lists, which other lists hold hardly any of; True if all lists were probed."""
+    lists = probed(index, np.asarray(query, np.float64), ef)
+    if len(lists) == len(index.centers):
+        return True
+    n, last = hits.agg(F.count("*"), F.max("distance")).first()
+    if n < k:
+        return False
+    rows = spark.read.parquet(index.path).where(F.col("list").isin(lists))
+    return rows.where(V.distance(index.metric, F.col("vector"), V.literal(query)) < last).limit(ef + 1).count() <= ef

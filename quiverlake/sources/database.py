@@ -444,32 +444,45 @@ class Collection:
     def _counts(self) -> tuple[int, int]:
         return self.nodes().where(~F.col("deleted")).count(), self.count()
 
+    def _searched(self, q: list[float], k: int, plan: planner.Plan, where) -> tuple[DataFrame, str]:
+        """The hits, and the strategy that they come from in the end."""
+        if plan.strategy == "index":
+            index = self._index()
+            hits = ivf.search(index, self.spark, q, k, plan.ef, where)
+            if where is None or ivf.within_reach(index, self.spark, q, k, plan.ef, hits):
+                return hits, plan.strategy
+        base = self.records()
+        hits = search.top_k(base if where is None else self._meta(base), q, k, self.config.metric, where)
+        return hits, "filtered_exact" if plan.strategy == "index" else plan.strategy
+
     def search_frame(self, query, k: int = 10, ef: int | None = None, exact: bool = False, filter=None, plan: planner.Plan | None = None) -> DataFrame:
-        """(id, node, distance, metadata_json), nearest first."""
+        """(id, node, distance, metadata_json), nearest first.
+
+        Where the index's lists hold fewer than k matching records, or the k-th
+        lies farther out than the lists reach, the search is made again, exactly.
+        """
         q = self._prepared(query)
         plan = plan or self.plan(k, ef, exact, filter)
         where = None if filter is None else filters.compiled(filter)
-        if plan.strategy == "index":
-            hits = ivf.search(self._index(), self.spark, q, k, plan.ef, where)
-        else:
-            base = self.records()
-            hits = search.top_k(base if where is None else self._meta(base), q, k, self.config.metric, where)
-        return hits.select("id", "node", "distance", "metadata_json")
+        return self._searched(q, k, plan, where)[0].select("id", "node", "distance", "metadata_json")
 
     def explain(self, query, k: int = 10, ef: int | None = None, exact: bool = False, filter=None) -> Report:
         begin = time.perf_counter()
-        self._prepared(query)
+        q = self._prepared(query)
         plan = self.plan(k, ef, exact, filter)
-        hits = self.search_frame(query, k, ef, exact, filter, plan).collect()
+        where = None if filter is None else filters.compiled(filter)
+        found, strategy = self._searched(q, k, plan, where)
+        hits = found.select("id", "node", "distance", "metadata_json").collect()
         if any(not np.isfinite(h["distance"]) for h in hits):
             raise InvalidArgument("stored vectors exceed the distance limit")
+        visited = 0
         if plan.strategy == "index":
             index = self._index()
-            visited = int(index.sizes[ivf.probed(index, np.asarray(self._prepared(query)), plan.ef)].sum())
-        else:
+            visited = int(index.sizes[ivf.probed(index, np.asarray(q), plan.ef)].sum())
+        if strategy != "index":
             base = self._meta(self.records())
-            visited = base.count() if filter is None else base.where(filters.compiled(filter)).count()
-        return Report(hits, plan.strategy, plan.ef, visited, visited, plan.selectivity, time.perf_counter() - begin)
+            visited += base.count() if where is None else base.where(where).count()
+        return Report(hits, strategy, plan.ef, visited, visited, plan.selectivity, time.perf_counter() - begin)
 
     def search(self, query, k: int = 10, **options) -> list[Row]:
         return self.explain(query, k, **options).hits

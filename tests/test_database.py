@@ -154,6 +154,24 @@ def test_index_recall_and_filters(spark, place):
     assert c.like("7", 1, exact=True)[0]["id"] == "7"
 
 
+def test_filter_that_goes_with_the_vectors_finds_all(spark, place):
+    """Matching records lie away from the query: none in the probed lists, or some but not the nearest."""
+    x = np.array(gauss(3000, 4))
+    x[2000:, 0] += 20
+    q = [0.0] * 4
+    d = (x**2).sum(1)
+    with Database.create(spark, place) as db:
+        c = db.create_collection("x", 4, "l2")
+        c.upsert_many((str(i), v.tolist(), {"topic": int(i >= 2000), "far": bool(d[i] > 5)}) for i, v in enumerate(x))
+        for name, value, match in (("topic", 1, np.arange(3000) >= 2000), ("far", True, d > 5)):
+            assert c.plan(5, 8, filter={name: value}).strategy == "index"
+            report = c.explain(q, 5, 8, filter={name: value})
+            truth = sorted(np.flatnonzero(match), key=lambda i: d[i])[:5]
+            assert [h["id"] for h in report.hits] == [str(i) for i in truth] and report.strategy == "filtered_exact"
+        near = c.explain(q, 2, 8, filter={"topic": 0})
+        assert near.strategy == "index" and [h["id"] for h in near.hits] == [str(i) for i in np.argsort(d)[:2]] and near.visited < 3000
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
 def test_int8_recall(spark, place, metric):
     rng = np.random.default_rng(5)
