@@ -367,6 +367,22 @@ def test_packing_real_rows(spark, real_docs):
     assert n <= 1.03 * sum(map(len, ids.values())) / 2048 + 1
 
 
+@real
+def test_special_strings_are_one_token(spark):
+    """As the JSON tokenizer has them; also in the fallback for texts that the fast matcher can't take."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x", "<|endoftext>", "a<|ENDOFTEXT|>", "plain  text", PROSE * 50 + "<|endoftext|>"]
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    docs = spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    check_packed(packing.packed(docs).collect(), ids)
+    counts = {r["doc_id"]: r["tokens"] for r in document_counts(docs, ("byte_bpe_50k",)).collect()}
+    assert counts == {i: len(x) - 1 for i, x in ids.items()}
+
+
 def test_packing_odd_rows(odd, none):
     rows = packing.packed(odd).collect()
     by_id = collections.Counter(r["doc_id"] for r in rows)
