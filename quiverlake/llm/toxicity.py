@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
@@ -227,11 +227,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _sizes(sample: DataFrame) -> np.ndarray:
+    """Toxic and other texts of each fold."""
+    size = np.zeros((FOLDS, 2), np.int64)
+    for r in sample.groupBy("fold", "toxic").count().collect():
+        size[r["fold"], 1 - r["toxic"]] = r["count"]
+    return size
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     """Learns from at most ``most`` labelled rows that are not held out, those with the smallest hash of their id.
 
     Rows without a label or text and labels of unknown documents teach nothing;
-    of several labels of a document the largest counts.
+    of several labels of a document the largest counts.  Folds are dealt by the
+    id's hash; a label that this leaves out of a fold is dealt in turn.  With no
+    document of a label, or one fold's only, nothing is learned and every text
+    gets the same score.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -243,14 +254,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     # the sample, and so the broadcast, is of about ``most`` rows at most
     chosen = known.where(F.col("spot") < cut).select("doc_id", "toxic", (F.col("spot") % FOLDS).cast("int").alias("fold"))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null")
-    sample = written(sample.select("fold", (F.col("toxic") > 0).cast("long").alias("toxic"), "text"), "labelled")
-    size = np.zeros((FOLDS, 2), np.int64)  # toxic and other texts of each fold
-    for r in sample.groupBy("fold", "toxic").count().collect():
-        size[r["fold"], 1 - r["toxic"]] = r["count"]
+    sample = written(sample.select("fold", (F.col("toxic") > 0).cast("long").alias("toxic"), "text", "doc_id"), "labelled")
+    size = _sizes(sample)
+    rare = [1 - j for j in range(2) if size[:, j].any() and not size[:, j].all()]
+    if rare:
+        # a label that misses a fold by its hash has few documents
+        turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        turns = sample.where(F.col("toxic").isin(rare)).select("toxic", "doc_id").distinct().select("doc_id", ((turn - 1) % FOLDS).alias("turn"))
+        sample = sample.join(F.broadcast(turns), "doc_id", "left").select(F.coalesce("turn", "fold").alias("fold"), "toxic", "text", "doc_id")
+        sample = written(sample, "dealt")
+        size = _sizes(sample)
     bad, good = (int(v) for v in size.sum(axis=0))
     base = bad / (bad + good) if bad + good else 0.0
     none = np.zeros(0, np.uint64), np.zeros(0)
-    if (size == 0).any():
+    # what a fold is scored with comes from the others, which must hold both labels
+    if (size.sum(axis=0) == size).any():
         return Model(Lexicon(*none, *none), None, None, base)
     columns = [f"n{i}" for i in range(2 * FOLDS)]
     grams = sample.mapInArrow(_gram_counts, "gram long, beginning boolean, " + ", ".join(f"{c} long" for c in columns))

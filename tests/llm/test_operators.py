@@ -258,6 +258,19 @@ def test_toxicity_of_held_out_labels_is_never_seen(spark, insults):
     assert a == b
 
 
+def test_toxicity_is_learned_where_a_fold_misses_a_label(spark):
+    """No toxic id falls in fold 0 by its hash."""
+    F = toxicity.F
+    ids = spark.range(4000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) % toxicity.FOLDS).alias("fold"), toxicity.held_out(F.col("id")).alias("held")).collect()
+    bad = [r["id"] for r in ids if r["fold"] and not r["held"]][:20] + [r["id"] for r in ids if r["held"]][:8]
+    good = [r["id"] for r in ids if r["id"] not in bad][:400]
+    docs = spark.createDataFrame([(i, prose(i, 40) + " you wretch vermin" * (i in bad)) for i in bad + good], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in bad + good], "doc_id long, toxic int")
+    rows = toxicity.scored(docs, toxicity.fit(docs, labels)).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] in bad) for r in held) >= 0.97 * len(held) and all(r["predicted"] for r in held if r["doc_id"] in bad)
+
+
 def test_toxicity_odd_rows(odd, none, insults):
     docs, labels, _ = insults
     model = toxicity.fit(docs, labels.unionByName(labels.limit(3)))
