@@ -21,6 +21,9 @@ _LOWER[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A word's key is KEY_FACTOR times the number that its bytes are in base KEY_BASE, modulo 2**32.
+KEY_BASE, KEY_FACTOR = 31, 2_654_435_769
+_KEY_INVERSE = pow(KEY_BASE, -1, 2**64)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -112,6 +115,21 @@ class Words:
     def hashes(self, lower: bool = False) -> np.ndarray:
         return self.range_hash(self.start, self.end, lower)
 
+    def keys(self) -> np.ndarray:
+        """A number below 2**32 for each word, from its bytes (A-Z as a-z) alone and plain enough for SQL."""
+        small = self.raw + ((self.raw >= 65) & (self.raw <= 90)).astype(np.uint8) * np.uint8(32)
+        sums = np.zeros(len(self.raw) + 1, np.uint64)
+        np.cumsum(small * _powers(_KEY_INVERSE, len(self.raw)), out=sums[1:])
+        sums = (sums[self.end] - sums[self.start]) * _powers(KEY_BASE, len(self.raw) + 1)[self.end - 1]
+        return (sums * np.uint64(KEY_FACTOR)) & np.uint64(0xFFFFFFFF)
+
+
+def range_sums(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each range of ``h`` that depends on its values and their order, not on where it lies."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(_BASE, len(h)), out=sums[1:])
+    return (sums[end] - sums[first]) * _powers(_INVERSE, len(h) + 1)[first]
+
 
 def window_hashes(words: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of every run of ``k`` words within a text."""

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import math
 
+from .kernels import KEY_BASE, KEY_FACTOR
 from .quality import FLOOR, GROUP_ROWS, GROWTH, MEASURES, SPREAD
-from .substring_dedup import MANY_WORDS, SENTENCES, WORDS
+from .substring_dedup import MANY_WORDS, REACH, SENTENCES, WORDS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _SPACE = r"[\x20\x09-\x0D]"
@@ -78,7 +79,11 @@ SELECT z.doc_id, z.n AS n_shingles, m.component_id FROM z JOIN (SELECT a, min(b)
     "op4_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, text, coalesce(regexp_extract(text, '^{_SPACE}*'), '') AS head, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+{_SPACE}*'), []) AS tokens FROM documents),
 p AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM d),
-w AS (SELECT *, {_lower(f'regexp_extract(token, {_WORD})')} AS word, CASE WHEN regexp_matches(token, '^[^\x20\x09-\x0D]*[.!?]({_SPACE}|$)') OR contains(token, chr(10)) THEN 1 ELSE 0 END AS ends FROM p),
+v AS (SELECT *, {_lower(f'regexp_extract(token, {_WORD})')} AS word FROM p),
+z AS (SELECT word, list_reduce(list_transform(range(strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS BIGINT), 2) AS UBIGINT)), lambda a, b: (a * {KEY_BASE} + b) % 4294967296) % 4294967296 * {KEY_FACTOR} % 4294967296 AS k
+      FROM (SELECT DISTINCT word FROM v)),
+w AS (SELECT doc_id, token, i, v.word, CASE WHEN regexp_matches(token, '^[^\x20\x09-\x0D]*[.!?]({_SPACE}|$)') OR contains(token, chr(10))
+      OR k = min(k) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING) THEN 1 ELSE 0 END AS ends FROM v JOIN z ON z.word = v.word),
 n AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w),
 s AS MATERIALIZED (SELECT doc_id, CAST(s AS BIGINT) AS s, string_agg(token, '' ORDER BY i) AS piece, string_agg(word, ' ' ORDER BY i) AS key, count(*) AS words FROM n GROUP BY doc_id, s),
 c AS MATERIALIZED (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY s) AS upto FROM s),

