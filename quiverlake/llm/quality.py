@@ -3,12 +3,19 @@
 Each document's measures come from one pass over its bytes.  For every language
 and source and every measure a quantile sketch is kept: counts in bins whose
 edges grow by a fixed factor, so a quantile is exact to that factor.  Sketches
-merge by adding counts, in any order with the same result; a source with few
-rows is judged by the merged sketch of its language or, failing that, of all.
-A document is rejected if a measure lies beyond its group's upper fence,
-``q50 + SPREAD * (q50 - q25) + slack``, or below ``q50 - SPREAD * (q75 - q50) -
-slack``.  Each fence is measured on the other side of the median, so odd
-documents don't move it until they are half of their group.
+merge by adding counts, in any order with the same result.  A group's quartiles
+are drawn towards those of its language, and these towards those of all rows,
+by the weight of PRIOR rows: smoothly, whatever a group's size.
+
+The fences of a group follow from its quartiles q1, q2, q3:
+
+* a measure that varies in most documents: ``q2 + SPREAD (q2 - q1)`` and a noise
+  term, and ``q2 - SPREAD (q3 - q2)`` less that term.  Each is measured on the
+  other side of the median, so odd documents don't move it until they are half
+  of their group.  The noise is what ODD words or symbols make of a short
+  document (q1 of the group's lengths), or a share of the median;
+* a measure that is 0 in most documents (RARE): ``q3 + TAIL (q3 - q1)`` over the
+  documents where it isn't.
 """
 
 from __future__ import annotations
@@ -25,17 +32,16 @@ from .store import named, numbered, place, spread, text_batches, written
 
 #: Growth of the sketches' bins, and the value below which all is one bin.
 GROWTH, FLOOR = 1.02, 1e-4
-#: Rows that a group's own sketch must have to be used.
-GROUP_ROWS = 100
-#: Measure: (slack, fence sides).  The slack is the least distance from the median that counts as odd.
-MEASURES = {
-    "symbol_rate": (0.02, "upper"),
-    "word_length": (1.5, "both"),
-    "duplicate_line_rate": (0.34, "upper"),
-    "repeat_rate": (0.3, "upper"),
-    "stutter_rate": (0.1, "upper"),
-}
-SPREAD = 8.0
+#: Rows that the quartiles of the wider group weigh in a group's own.
+PRIOR = 100
+#: Quartile distances to a fence from the median, and from q3 of a rare measure.
+SPREAD, TAIL = 8.0, 3.0
+#: Odd words or symbols that a short document may have, and the share of the median that a mean word length may be off.
+ODD, OFF = 10.0, 0.1
+RATES = ("symbol_rate", "word_length", "duplicate_line_rate", "repeat_rate", "stutter_rate")
+RARE = ("duplicate_line_rate", "repeat_rate")
+#: What the noise of a rate is relative to.
+SIZES = {"symbol_rate": "word_chars", "stutter_rate": "n_words"}
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_stutters long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -116,73 +122,92 @@ def _rates() -> dict[str, Column]:
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Mergeable sketches (lang, source, measure, bin, n) of the rows that pass the base rules.
+    """Mergeable sketches (lang, source, measure, bin, n) of the rows that pass the base rules: of the rates and of the lengths.
 
-    Every row adds one to one bin of each measure, before any shuffle; a sketch has
-    at most ``log(max / FLOOR) / log(GROWTH)`` bins, whatever the rows.
+    Every row adds one to one bin of each measure before any shuffle, so a task
+    sends at most ``log(max / FLOOR) / log(GROWTH)`` rows for a group and measure.
     """
-    bins = [F.struct(F.lit(name).alias("measure"), F.when(rate <= FLOOR, 0).otherwise(F.ceil(F.log(rate / FLOOR) / math.log(GROWTH))).cast("int").alias("bin")) for name, rate in _rates().items()]
-    rows = measured.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[b.alias(f"b{i}") for i, b in enumerate(bins)])
-    combined = rows.groupBy("lang", "source", *[f"b{i}" for i in range(len(bins))]).count()
-    flat = combined.select("lang", "source", F.col("count").alias("n"), F.explode(F.array(*[f"b{i}" for i in range(len(bins))])).alias("b"))
-    return flat.groupBy("lang", "source", F.col("b.measure").alias("measure"), F.col("b.bin").alias("bin")).agg(F.sum("n").alias("n"))
+    values = _rates() | {name: F.col(name).cast("double") for name in SIZES.values()}
+    bins = [F.struct(F.lit(name).alias("measure"), F.when(v <= FLOOR, 0).otherwise(F.ceil(F.log(v / FLOOR) / math.log(GROWTH))).cast("int").alias("bin")) for name, v in values.items()]
+    flat = measured.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(F.array(*bins)).alias("b"))
+    return flat.groupBy("lang", "source", F.col("b.measure").alias("measure"), F.col("b.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, rows, q25, q50, q75) by merging sketches down to ``keys``."""
+def _quartiles(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """(tag_keys, tag_measure, tag_rows, tag_q1, tag_q2, tag_q3) by merging sketches down to ``keys``."""
     merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(group))
     value = F.when(F.col("bin") == 0, 0.0).otherwise(F.lit(FLOOR) * F.pow(F.lit(GROWTH), F.col("bin") - 0.5))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), value))
-    return ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    found = ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    return found.toDF(*[f"{tag}_{c}" for c in found.columns])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row for each language and source: lower and upper fence of every measure."""
-    keyed = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}" if c != "measure" else "measure") for c in df.columns])
-    own, lang, every = (_quartiles(sketch, k) for k in (["lang", "source"], ["lang"], []))
-    lang, every = keyed(lang, "l"), keyed(every, "e")
-    joined = own.join(lang, (own.lang.eqNullSafe(lang.l_lang)) & (own.measure == lang.measure)).drop(lang.measure).join(every, "measure")
-    pick = lambda q: F.when(F.col("rows") >= GROUP_ROWS, F.col(q)).when(F.col("l_rows") >= GROUP_ROWS, F.col(f"l_{q}")).otherwise(F.col(f"e_{q}"))
-    slack = F.lit(0.0)
-    for name, (s, _) in MEASURES.items():
-        slack = F.when(F.col("measure") == name, F.lit(s)).otherwise(slack)
-    low, middle, high = pick("q25"), pick("q50"), pick("q75")
-    fenced = joined.select("lang", "source", "measure", (middle - (high - middle) * SPREAD - slack).alias("lo"), (middle + (middle - low) * SPREAD + slack).alias("hi"))
-    return fenced.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}") for m in MEASURES for e in ("lo", "hi")])
-
-
-def _judged(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """With numbered columns: plus the counts, base_failed and kept."""
+    """One row for each language and source: lo_ and hi_ fences of every rate (lo_ of the mean word length only)."""
+    used = sketch.where(~(F.col("measure").isin(*RARE) & (F.col("bin") == 0)))
+    own, lang, every = _quartiles(used, ["lang", "source"], "o"), _quartiles(used, ["lang"], "l"), _quartiles(used, [], "e")
+    names = F.array(*[F.lit(m) for m in (*RATES, *SIZES.values())])
+    asked = sketch.select("lang", "source").distinct().withColumn("measure", F.explode(names))
+    joined = asked.join(own, (F.col("measure") == F.col("o_measure")) & F.col("lang").eqNullSafe(F.col("o_lang")) & F.col("source").eqNullSafe(F.col("o_source")), "left")
+    joined = joined.join(lang, (F.col("measure") == F.col("l_measure")) & F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(every, F.col("measure") == F.col("e_measure"), "left")
+    drawn = lambda rows, q, to: F.when(rows.isNull(), to).otherwise((rows * q + to * PRIOR) / (rows + PRIOR))
+    quartile = lambda q: drawn(F.col("o_rows"), F.col(f"o_{q}"), drawn(F.col("l_rows"), F.col(f"l_{q}"), F.col(f"e_{q}")))
+    flat = joined.select("lang", "source", "measure", *[quartile(q).alias(q) for q in ("q1", "q2", "q3")])
+    of = lambda m: F.max(F.when(F.col("measure") == m, F.struct("q1", "q2", "q3")))
+    wide = flat.groupBy("lang", "source").agg(*[of(m).alias(m) for m in (*RATES, *SIZES.values())])
+    fences = []
+    for m in RATES:
+        q1, q2, q3 = (F.col(m)[q] for q in ("q1", "q2", "q3"))
+        if m in RARE:  # nothing but zeros anywhere: nothing to judge
+            fences.append(F.coalesce(q3 + (q3 - q1) * TAIL, F.lit(1.0)).alias(f"hi_{m}"))
+            continue
+        noise = F.lit(ODD) / F.col(SIZES[m])["q1"] if m in SIZES else q2 * OFF
+        fences.append((q2 + (q2 - q1) * SPREAD + noise).alias(f"hi_{m}"))
+        if m not in SIZES:
+            fences.append((q2 - (q3 - q2) * SPREAD - noise).alias(f"lo_{m}"))
+    return wide.select("lang", "source", *fences)
+
+
+def _judged(docs: DataFrame, text: str, lang: str, source: str, keep_text: bool = True, passing: bool = False) -> DataFrame:
+    """With numbered columns: plus the counts, base_failed and kept.  Texts are measured once, and the counts written beside the row."""
     base = numbered(docs)
     text, lang, source = (place(docs, c) for c in (text, lang, source))
     base = spread(base.withColumn(text, F.col(text).cast("string")), text)
-    narrow = base.select(F.col(lang).cast("string").alias("c0"), F.col(source).cast("string").alias("c1"), F.col(text).alias("c2"))
-    fences = written(thresholds(written(sketches(features(narrow, "c2"), "c0", "c1"), "sketches", 8)), "fences", 1)
+    measured = features(base, text)
+    if not keep_text:
+        measured = measured.withColumn(text, F.lit(None).cast("string"))
+    if passing:
+        measured = measured.where(~base_failed())
+    measured = written(measured, "measured")
+    own = measured.withColumns({"_l": F.col(lang).cast("string"), "_s": F.col(source).cast("string")})
+    fences = written(thresholds(written(sketches(own, "_l", "_s"), "sketches", 8)), "fences", 1)
     fences = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     # a group whose rows all fail the base rules has no fences, and needs none
-    both = features(base, text).join(fences, F.col(lang).cast("string").eqNullSafe(F.col("_lang")) & F.col(source).cast("string").eqNullSafe(F.col("_source")), "left")
+    both = own.join(fences, F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_s").eqNullSafe(F.col("_source")), "left")
     fine = ~base_failed()
     for name, rate in _rates().items():
         fine = fine & (rate <= F.col(f"hi_{name}"))
-        if MEASURES[name][1] == "both":
+        if f"lo_{name}" in fences.columns:
             fine = fine & (rate >= F.col(f"lo_{name}"))
     return both.withColumn("base_failed", base_failed()).withColumn("kept", F.coalesce(fine, F.lit(False)))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True) -> DataFrame:
     """``docs`` plus the measured counts, base_failed and kept.
 
     Null text fails the base rules (no words).  A null language or source is a
     group of its own.  Ties with a fence are kept.  Repeated rows are judged
-    alike and each counts in the sketches.  An empty table gives no rows.  An
-    added name that ``docs`` has already gets an underscore at its end.
+    alike and each counts in the sketches.  Whole texts are measured, however
+    long.  An empty table gives no rows.  An added name that ``docs`` has already
+    gets an underscore at its end.  Without ``keep_text`` the text column comes
+    back null, and no copy of the texts is written.
     """
-    return named(_judged(docs, text, lang, source), docs, [*_NAMES, "base_failed", "kept"])
+    return named(_judged(docs, text, lang, source, keep_text), docs, [*_NAMES, "base_failed", "kept"])
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows that pass, with the columns of ``docs``."""
-    return named(_judged(docs, "text", "lang", "source").where("kept"), docs, [])
+    return named(_judged(docs, "text", "lang", "source", passing=True).where("kept"), docs, [])

@@ -24,7 +24,8 @@ def op1_mix_sources(spark, sf_dir):
 
 
 def op2_quality_rules(spark, sf_dir):
-    return judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters", "base_failed", "kept")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return judged(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters", "base_failed", "kept")
 
 
 def op3_ngram_jaccard(spark, sf_dir):

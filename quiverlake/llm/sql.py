@@ -9,13 +9,13 @@ from __future__ import annotations
 import math
 
 from .kernels import KEY_BASE, KEY_FACTOR
-from .quality import FLOOR, GROUP_ROWS, GROWTH, MEASURES, SPREAD
+from .quality import FLOOR, GROWTH, ODD, OFF, PRIOR, RARE, RATES, SIZES, SPREAD, TAIL
 from .substring_dedup import MANY_WORDS, REACH, SENTENCES, WORDS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _SPACE = r"[\x20\x09-\x0D]"
 _WORDS = rf"coalesce(len(regexp_extract_all(text, {_WORD})), 0)"
-_RULES = ", ".join(f"('{m}', {slack!r}::DOUBLE, {str(side == 'both').lower()})" for m, (slack, side) in MEASURES.items())
+_RULES = ", ".join(f"('{m}', {str(m in RARE).lower()}, '{SIZES.get(m, '')}')" for m in (*RATES, *SIZES.values()))
 _WINDOW = " || ' ' || ".join(["x"] + [f"lead(x, {j}) OVER o" for j in range(1, 8)])
 
 
@@ -53,16 +53,24 @@ m AS MATERIALIZED (SELECT y.doc_id, lang, source, CAST(len(words) AS BIGINT) AS
       CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
       coalesce(c.n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(h.n, 0) AS n_stutters FROM y LEFT JOIN c ON c.doc_id = y.doc_id LEFT JOIN h ON h.doc_id = y.doc_id),
 j AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-u(measure, slack, low) AS (VALUES {_RULES}),
-q AS MATERIALIZED (SELECT doc_id, lang, source, base_failed, measure, slack, low, coalesce(CASE measure WHEN 'symbol_rate' THEN n_symbols / nullif(word_chars, 0) WHEN 'word_length' THEN word_chars / nullif(n_words, 0)
-      WHEN 'duplicate_line_rate' THEN n_dup_lines / nullif(n_lines, 0) WHEN 'repeat_rate' THEN n_repeat_words / nullif(n_words, 0) ELSE n_stutters / nullif(n_words, 0) END, 0.0::DOUBLE) AS rate FROM j, u),
-b AS (SELECT lang, source, measure, CASE WHEN rate <= {FLOOR!r}::DOUBLE THEN 0 ELSE CAST(ceil(ln(rate / {FLOOR!r}::DOUBLE) / {math.log(GROWTH)!r}::DOUBLE) AS INTEGER) END AS bin FROM q WHERE NOT base_failed),
-n AS (SELECT lang, source, measure, grouping(lang, source) AS level, list_sort(list(bin)) AS bins FROM b GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))),
-a AS (SELECT lang, source, measure, level, len(bins) AS rows, list_transform([0.25, 0.5, 0.75], lambda s: CASE bins[CAST(ceil(len(bins) * s) AS BIGINT)] WHEN 0 THEN 0.0::DOUBLE ELSE {FLOOR!r}::DOUBLE * pow({GROWTH!r}::DOUBLE, bins[CAST(ceil(len(bins) * s) AS BIGINT)] - 0.5) END) AS quartile FROM n),
-t AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.rows >= {GROUP_ROWS} THEN o.quartile WHEN l.rows >= {GROUP_ROWS} THEN l.quartile ELSE g.quartile END AS v FROM a o
-      JOIN a l ON o.level = 0 AND l.level = 1 AND l.measure = o.measure AND l.lang IS NOT DISTINCT FROM o.lang JOIN a g ON g.level = 3 AND g.measure = o.measure),
-k AS (SELECT doc_id, bool_and(rate <= v[2] + (v[2] - v[1]) * {SPREAD!r}::DOUBLE + slack AND (NOT low OR rate >= v[2] - (v[3] - v[2]) * {SPREAD!r}::DOUBLE - slack)) AS fine
-      FROM q JOIN t ON t.measure = q.measure AND t.lang IS NOT DISTINCT FROM q.lang AND t.source IS NOT DISTINCT FROM q.source WHERE NOT base_failed GROUP BY doc_id)
+u(measure, rare, relative) AS (VALUES {_RULES}),
+q AS MATERIALIZED (SELECT doc_id, lang, source, base_failed, measure, rare, coalesce(CASE measure WHEN 'symbol_rate' THEN n_symbols / nullif(word_chars, 0) WHEN 'word_length' THEN word_chars / nullif(n_words, 0)
+      WHEN 'duplicate_line_rate' THEN n_dup_lines / nullif(n_lines, 0) WHEN 'repeat_rate' THEN n_repeat_words / nullif(n_words, 0) WHEN 'stutter_rate' THEN n_stutters / nullif(n_words, 0)
+      WHEN 'word_chars' THEN word_chars ELSE n_words END, 0.0::DOUBLE) AS rate FROM j, u),
+b AS (SELECT lang, source, measure, rare, CASE WHEN rate <= {FLOOR!r}::DOUBLE THEN 0 ELSE CAST(ceil(ln(rate / {FLOOR!r}::DOUBLE) / {math.log(GROWTH)!r}::DOUBLE) AS INTEGER) END AS bin FROM q WHERE NOT base_failed),
+n AS (SELECT lang, source, measure, grouping(lang, source) AS level, list_sort(list(bin)) AS bins FROM b WHERE NOT rare OR bin > 0 GROUP BY GROUPING SETS ((lang, source, measure), (lang, measure), (measure))),
+a AS MATERIALIZED (SELECT lang, source, measure, level, len(bins) AS rows, list_transform([0.25, 0.5, 0.75], lambda s: CASE bins[CAST(ceil(len(bins) * s) AS BIGINT)] WHEN 0 THEN 0.0::DOUBLE ELSE {FLOOR!r}::DOUBLE * pow({GROWTH!r}::DOUBLE, bins[CAST(ceil(len(bins) * s) AS BIGINT)] - 0.5) END) AS quartile FROM n),
+y1 AS (SELECT DISTINCT lang, source FROM b),
+y2 AS (SELECT y1.lang, y1.source, u.measure, u.rare, u.relative, o.rows AS rows, o.quartile AS own,
+      [CASE WHEN l.rows IS NULL THEN e.quartile[i] ELSE (l.rows * l.quartile[i] + e.quartile[i] * {PRIOR}) / (l.rows + {PRIOR}) END FOR i IN [1, 2, 3]] AS wide
+      FROM y1 CROSS JOIN u LEFT JOIN a o ON o.level = 0 AND o.measure = u.measure AND o.lang IS NOT DISTINCT FROM y1.lang AND o.source IS NOT DISTINCT FROM y1.source
+      LEFT JOIN a l ON l.level = 1 AND l.measure = u.measure AND l.lang IS NOT DISTINCT FROM y1.lang LEFT JOIN a e ON e.level = 3 AND e.measure = u.measure),
+t AS MATERIALIZED (SELECT *, [CASE WHEN rows IS NULL THEN wide[i] ELSE (rows * own[i] + wide[i] * {PRIOR}) / (rows + {PRIOR}) END FOR i IN [1, 2, 3]] AS v FROM y2),
+z AS (SELECT t.lang, t.source, t.measure, CASE WHEN t.rare THEN coalesce(t.v[3] + (t.v[3] - t.v[1]) * {TAIL!r}::DOUBLE, 1.0) ELSE t.v[2] + (t.v[2] - t.v[1]) * {SPREAD!r}::DOUBLE + coalesce({ODD!r}::DOUBLE / s.v[1], t.v[2] * {OFF!r}::DOUBLE) END AS hi,
+      CASE WHEN t.measure = 'word_length' THEN t.v[2] - (t.v[3] - t.v[2]) * {SPREAD!r}::DOUBLE - t.v[2] * {OFF!r}::DOUBLE END AS lo
+      FROM t LEFT JOIN t s ON s.measure = t.relative AND s.lang IS NOT DISTINCT FROM t.lang AND s.source IS NOT DISTINCT FROM t.source WHERE t.measure NOT IN ('word_chars', 'n_words')),
+k AS (SELECT doc_id, bool_and(rate <= hi AND (lo IS NULL OR rate >= lo)) AS fine
+      FROM q JOIN z ON z.measure = q.measure AND z.lang IS NOT DISTINCT FROM q.lang AND z.source IS NOT DISTINCT FROM q.source WHERE NOT base_failed GROUP BY doc_id)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stutters, base_failed, coalesce(k.fine, false) AS kept FROM j LEFT JOIN k ON k.doc_id = j.doc_id""",
     "op3_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_lower('text')}, {_WORD}), []) AS words FROM documents),

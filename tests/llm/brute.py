@@ -51,30 +51,53 @@ def measures(text):
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text or "")), "n_dup_lines": dup, "n_lines": len(seen) + dup, "n_repeat_words": len(covered), "n_stutters": stutter}
 
 
-def verdicts(rows, growth, floor, group_rows, spread, rules):
-    """[(text, lang, source)] -> [kept], with sketches and fences of the operator's parameters."""
+def fences(rows):
+    """[(text, lang, source)] -> {(lang, source): {measure: (low, high)}}, from sorted bins."""
     over = lambda a, b: a / b if b else 0.0
     got = [measures(t) for t, _, _ in rows]
-    rate = [
-        {"symbol_rate": over(m["n_symbols"], m["word_chars"]), "word_length": over(m["word_chars"], m["n_words"]), "duplicate_line_rate": over(m["n_dup_lines"], m["n_lines"]), "repeat_rate": over(m["n_repeat_words"], m["n_words"]), "stutter_rate": over(m["n_stutters"], m["n_words"])}
-        for m in got
-    ]
-    fine = [m["n_words"] >= 20 and 100 * m["n_repeat_words"] <= 30 * m["n_words"] for m in got]
-
-    def quartiles(keep, name):
-        bins = sorted(0 if r[name] <= floor else math.ceil(math.log(r[name] / floor) / math.log(growth)) for r, k in zip(rate, keep, strict=True) if k)
-        value = lambda b: 0.0 if b == 0 else floor * growth ** (b - 0.5)
-        return len(bins), *(value(bins[math.ceil(len(bins) * q) - 1]) for q in (0.25, 0.5, 0.75))
-
-    out = []
-    for i, (_, lang, source) in enumerate(rows):
-        ok = fine[i]
-        for name, (slack, side) in rules.items() if ok else ():
-            for key in (lambda r: r[1:] == (lang, source), lambda r: r[1] == lang, lambda r: True):
-                n, lo, mid, hi = quartiles([f and key(r) for r, f in zip(rows, fine, strict=True)], name)
-                if n >= group_rows:
-                    break
-            ok = ok and rate[i][name] <= mid + (mid - lo) * spread + slack and (side == "upper" or rate[i][name] >= mid - (hi - mid) * spread - slack)
+    table = collections.defaultdict(list)
+    for m, (_, lang, source) in zip(got, rows, strict=True):
+        if m["n_words"] >= 20 and 100 * m["n_repeat_words"] <= 30 * m["n_words"]:
+            values = {"symbol_rate": over(m["n_symbols"], m["word_chars"]), "word_length": over(m["word_chars"], m["n_words"]), "duplicate_line_rate": over(m["n_dup_lines"], m["n_lines"])}
+            values |= {"repeat_rate": over(m["n_repeat_words"], m["n_words"]), "stutter_rate": over(m["n_stutters"], m["n_words"]), "chars": m["word_chars"], "words": m["n_words"]}
+            for name, v in values.items():
+                b = 0 if v <= 1e-4 else math.ceil(math.log(v / 1e-4) / math.log(1.02))
+                if b or name not in ("duplicate_line_rate", "repeat_rate"):
+                    for group in ((lang, source), (lang,), ()):
+                        table[name, group].append(b)
+    for bins in table.values():
+        bins.sort()
+
+    def quartiles(name, group):
+        bins = table.get((name, group), [])
+        own = [0.0 if b == 0 else 1e-4 * 1.02 ** (b - 0.5) for b in (bins[math.ceil(len(bins) * q) - 1] for q in (0.25, 0.5, 0.75))] if bins else None
+        if not group:
+            return own
+        wide = quartiles(name, group[:-1])
+        return wide if own is None else [(len(bins) * a + 100 * b) / (len(bins) + 100) for a, b in zip(own, wide, strict=True)]
+
+    out = {}
+    for group in {(lang, source) for _, lang, source in rows if table.get(("words", (lang, source)))}:
+        q = {name: quartiles(name, group) for name in ("symbol_rate", "word_length", "duplicate_line_rate", "repeat_rate", "stutter_rate", "chars", "words")}
+        fence = {name: (0.0, 1.0 if q[name] is None else q[name][2] + 3 * (q[name][2] - q[name][0])) for name in ("duplicate_line_rate", "repeat_rate")}
+        for name, noise in (("symbol_rate", 10 / q["chars"][0]), ("stutter_rate", 10 / q["words"][0]), ("word_length", q["word_length"][1] / 10)):
+            a, b, c = q[name]
+            fence[name] = (b - 8 * (c - b) - noise if name == "word_length" else 0.0, b + 8 * (b - a) + noise)
+        out[group] = fence
+    return out
+
+
+def verdicts(rows):
+    """[(text, lang, source)] -> [kept]."""
+    over = lambda a, b: a / b if b else 0.0
+    limits, out = fences(rows), []
+    for text, lang, source in rows:
+        m = measures(text)
+        ok = m["n_words"] >= 20 and 100 * m["n_repeat_words"] <= 30 * m["n_words"]
+        if ok:
+            rate = {"symbol_rate": over(m["n_symbols"], m["word_chars"]), "word_length": over(m["word_chars"], m["n_words"]), "duplicate_line_rate": over(m["n_dup_lines"], m["n_lines"])}
+            rate |= {"repeat_rate": over(m["n_repeat_words"], m["n_words"]), "stutter_rate": over(m["n_stutters"], m["n_words"])}
+            ok = all(low <= rate[name] <= high for name, (low, high) in limits[lang, source].items())
         out.append(ok)
     return out
 

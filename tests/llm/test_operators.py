@@ -85,7 +85,7 @@ def test_mixing_odd_rows(odd, none):
 @real
 def test_quality_matches_brute_force(real_docs):
     rows = quality.judged(real_docs).collect()
-    kept = brute.verdicts([(r["text"], r["lang"], r["source"]) for r in rows], quality.GROWTH, quality.FLOOR, quality.GROUP_ROWS, quality.SPREAD, quality.MEASURES)
+    kept = brute.verdicts([(r["text"], r["lang"], r["source"]) for r in rows])
     for r, k in zip(rows, kept, strict=True):
         assert {n: r[n] for n in brute.measures("")} == brute.measures(r["text"])
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
@@ -104,6 +104,21 @@ def test_quality_measures_any_text(texts):
         assert {n: int(c[i]) for n, c in zip(quality._NAMES, got, strict=True)} == brute.measures(t)
 
 
+@real
+def test_quality_fences_follow_each_group(spark):
+    """Every fence differs between languages and sources, and clean documents pass them."""
+    folder = DATA.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    narrow = docs.select("lang", "source", "text").toDF("c0", "c1", "c2")
+    fences = quality.thresholds(quality.sketches(quality.features(narrow, "c2"), "c0", "c1")).toPandas()
+    assert len(fences) > 20
+    for name in fences.columns[2:]:
+        assert fences[name].nunique() > len(fences) / 3, name
+    found = quality.judged(docs).join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in found}
+    assert n[1, True] >= 0.97 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.05 * n[0, False]
+
+
 def test_quality_odd_rows(odd, none):
     rows = quality.judged(odd).collect()
     assert len(rows) == odd.count() and "n_words_" in rows[0].__fields__
@@ -526,7 +541,7 @@ def test_pipeline_matches_brute_force(spark, real_docs):
     import corpus_pipeline as P
 
     rows = sorted(tuple(r) for r in real_docs.collect())
-    ok = brute.verdicts([(t, lang, s) for _, t, lang, s, _ in rows], quality.GROWTH, quality.FLOOR, quality.GROUP_ROWS, quality.SPREAD, quality.MEASURES)
+    ok = brute.verdicts([(t, lang, s) for _, t, lang, s, _ in rows])
     rows = [r for r, k in zip(rows, ok, strict=True) if k]
     least = {d: c for d, _, c in brute.components([r[:2] for r in rows])}
     rows = [r for r in rows if least[r[0]] == r[0]]
