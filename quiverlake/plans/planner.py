@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument
 
 SAMPLE = 512
-# Fixed value: the seed that samples of nodes are drawn with.
-SEED = 0x5245_4345_524E_5645
+#: What samples of nodes are drawn with, unless another seed is given.
+SEED = 20_240_229
 _MASK = 2**64 - 1
 
 
