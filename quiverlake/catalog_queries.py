@@ -14,7 +14,7 @@ from .functions import vectors as V
 from .operators import filters, ivf, mutations, search
 from .plans import planner
 from .sources import archive, files, jsonl
-from .sources.database import Database
+from .sources.database import Collection, Database
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -64,36 +64,75 @@ def _first(spark, sf_dir) -> list[float]:
     return list(records(spark, sf_dir).orderBy("node").select("vector").first()[0])
 
 
+_collections: dict = {}
+
+
+def collection(spark: SparkSession, sf_dir: str) -> Collection:
+    """The embeddings as a stored collection with every eleventh record deleted; made once for each application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _collections:
+        rows = records(spark, sf_dir).orderBy("node")
+        with Database.create(spark, files.shared(spark, "embeddings")) as db:
+            c = db.create_collection("embeddings", rows.agg(F.max(F.size("vector"))).first()[0], "l2")
+            c.upsert_frame(rows.select("id", "vector", "metadata_json"))
+            c.delete_frame(rows.where("node % 11 = 0").select("id"))
+        _collections[key] = c
+    return _collections[key]
+
+
+def _one(spark, row: tuple, schema: str) -> DataFrame:
+    return spark.createDataFrame([row], schema)
+
+
+#: The collection's nodes: numbered in order of vec_id; a deleted one keeps its number.
+_NODES = f"(SELECT *, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS node, {_META} AS metadata_json FROM embeddings)"
+_LIVE = f"(SELECT * FROM {_NODES} WHERE vec_id % 11 <> 0)"
+
+
 # scans
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS node FROM embeddings WHERE vec_id % 11 <> 0")
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, node FROM {_LIVE}")
 def scan_live(spark, sf_dir):
-    return mutations.live(nodes(spark, sf_dir)).select("id", "node")
+    return collection(spark, sf_dir).records().select("id", "node")
 
 
-@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, {_META} AS metadata_json FROM embeddings WHERE vec_id = 42")
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, metadata_json, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS total FROM {_LIVE} WHERE vec_id = 42")
 def get_by_id(spark, sf_dir):
-    return records(spark, sf_dir).where(F.col("id") == "42").select("id", "metadata_json")
+    row = collection(spark, sf_dir).get("42")
+    return _one(spark, (row["id"], M.canonical(row["metadata"]), float(sum(row["vector"]))), "id string, metadata_json string, total double")
 
 
-@query("SELECT count(*) > 0 AS present FROM embeddings WHERE vec_id = 42")
+@query(f"SELECT count(*) FILTER (WHERE vec_id = 42) > 0 AS stored, count(*) FILTER (WHERE vec_id = 44) > 0 AS deleted, count(*) FILTER (WHERE vec_id = -1) > 0 AS unknown FROM {_LIVE}")
 def contains_id(spark, sf_dir):
-    return records(spark, sf_dir).where(F.col("id") == "42").agg((F.count("*") > 0).alias("present"))
+    c = collection(spark, sf_dir)
+    return _one(spark, tuple(map(c.contains, ("42", "44", "-1"))), "stored boolean, deleted boolean, unknown boolean")
 
 
-@query("SELECT count(*) AS live FROM embeddings WHERE vec_id % 11 <> 0")
+@query(f"SELECT count(*) AS live FROM {_LIVE}")
 def count_live(spark, sf_dir):
-    return nodes(spark, sf_dir).where(~F.col("deleted")).agg(F.count("*").alias("live"))
+    return _one(spark, (collection(spark, sf_dir).count(),), "live long")
+
+
+def _page(name: str, offset: int) -> None:
+    def run(spark, sf_dir):
+        page = collection(spark, sf_dir).records_page(offset, 100)
+        return spark.createDataFrame([(r["id"], r["node"], page.next_offset) for r in page.records], "id string, node long, next_offset long")
+
+    run.__name__ = name
+    query(f"""WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS id, node, row_number() OVER (ORDER BY node) AS place FROM {_LIVE} WHERE node >= {offset})
+              SELECT id, node, (SELECT node FROM p WHERE place = 101) AS next_offset FROM p WHERE place <= 100""")(run)
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS node FROM embeddings WHERE vec_id % 11 <> 0 ORDER BY vec_id LIMIT 100")
-def page_first(spark, sf_dir):
-    return mutations.live(nodes(spark, sf_dir)).orderBy("node").limit(100).select("id", "node")
+_page("page_first", 0)
+_page("page_middle", 200)
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS node FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id >= 200 ORDER BY vec_id LIMIT 100")
-def page_middle(spark, sf_dir):
-    return mutations.live(nodes(spark, sf_dir)).where("node >= 200").orderBy("node").limit(100).select("id", "node")
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, node FROM {_LIVE} ORDER BY node LIMIT 50 OFFSET 50")
+def page_cursor(spark, sf_dir):
+    """The second page of a walk by cursor."""
+    c = collection(spark, sf_dir)
+    _, cursor = c.page(limit=50)
+    return spark.createDataFrame([(r["id"], r["node"]) for r in c.page(cursor, 50)[0]], "id string, node long")
 
 
 @query(f"SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dim, {_META} AS metadata_json FROM embeddings")
@@ -103,9 +142,22 @@ def ingest_jsonl(spark, sf_dir):
     return lines.select(jsonl._parsed("value").alias("r")).select("r.id", F.size("r.vector").cast("long").alias("dim"), "r.metadata_json")
 
 
-@query("SELECT count(*) AS records, 64 AS dim FROM embeddings")
+@query(f"SELECT 'embeddings' AS name, 'l2' AS metric, count(*) AS records, CAST(max(len(embedding)) AS INTEGER) AS dim FROM {_LIVE}")
 def export_manifest(spark, sf_dir):
-    return records(spark, sf_dir).agg(F.count("*").alias("records"), F.max(F.size("vector")).cast("int").alias("dim"))
+    """An archive of the collection, written and checked against its digests."""
+    path = files.shared(spark, "export")
+    archive.export(collection(spark, sf_dir).db, path)
+    listed = archive.inspect(spark, path)["collections"]
+    return spark.createDataFrame([(c["name"], c["metric"], c["records"], c["dim"]) for c in listed], "name string, metric string, records long, dim int")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, node, metadata_json FROM (SELECT vec_id, CAST(row_number() OVER (ORDER BY node) - 1 AS BIGINT) AS node, metadata_json FROM {_LIVE})")
+def import_archive(spark, sf_dir):
+    """The archive read back into a database of its own; nodes are numbered anew."""
+    path, to = files.shared(spark, "export"), Database.create(spark, files.shared(spark, "import"))
+    archive.export(collection(spark, sf_dir).db, path)
+    archive.restore(to, path)
+    return to.collection("embeddings").records().select("id", "node", "metadata_json")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
@@ -224,19 +276,35 @@ def _topk(name: str, metric: str, expression: str) -> None:
 
 _COSINE = f"greatest(0.0::DOUBLE, 1.0::DOUBLE - {_DOT.format(a='embedding', b='q')})"
 _topk("topk_cosine", "cosine", _COSINE)
-_topk("topk_l2", "l2", _L2.format(a="embedding", b="q"))
 _topk("topk_dot", "dot", f"-({_DOT.format(a='embedding', b='q')})")
-_topk("topk_exact", "cosine", _COSINE)
 
 
-@query(f"SELECT vec_id AS node, {_COSINE} AS distance FROM embeddings, {_Q} WHERE vec_id % 7 = 3 ORDER BY distance, node LIMIT 10")
-def topk_filtered_eq(spark, sf_dir):
-    return search.top_k(_projected(spark, sf_dir), _first(spark, sf_dir), 10, "cosine", filters.compiled({"bucket": 3})).select("node", "distance")
+def _searched(name: str, where: str, **options) -> None:
+    """Through the stored collection."""
 
+    def run(spark, sf_dir):
+        return collection(spark, sf_dir).search_frame(_first(spark, sf_dir), 10, **options).select("id", "node", "distance")
 
-@query(f"SELECT vec_id AS node, {_COSINE} AS distance FROM embeddings, {_Q} WHERE vec_id % 2 = 0 AND {_LABEL} < 5) ORDER BY distance, node LIMIT 10")
-def topk_filtered_range(spark, sf_dir):
-    return search.top_k(_projected(spark, sf_dir), _first(spark, sf_dir), 10, "cosine", filters.compiled({"nested.even": True, "label": {"$lt": 5}})).select("node", "distance")
+    run.__name__ = name
+    query(f"SELECT CAST(vec_id AS VARCHAR) AS id, node, {_L2.format(a='embedding', b='q')} AS distance FROM {_LIVE}, {_Q} WHERE {where} ORDER BY distance, node LIMIT 10")(run)
+
+
+_searched("topk_l2", "true", exact=True)
+_searched("topk_exact", "true", exact=True)
+_searched("topk_filtered_eq", "vec_id % 7 = 3", exact=True, filter={"bucket": 3})
+_searched("topk_filtered_range", f"vec_id % 2 = 0 AND {_LABEL} < 5)", exact=True, filter={"nested.even": True, "label": {"$lt": 5}})
+
+
+@query(f"SELECT 10 AS hits, count(*) AS visited, 'exact' AS strategy FROM {_LIVE} WHERE vec_id % 2 = 0 AND {_LABEL} < 5)")
+def explain_visited(spark, sf_dir):
+    """How many records an exact filtered search compares, counted in the search's own pass."""
+    report = collection(spark, sf_dir).explain(_first(spark, sf_dir), 10, exact=True, filter={"nested.even": True, "label": {"$lt": 5}})
+    return _one(spark, (len(report.hits), report.visited, report.strategy), "hits int, visited long, strategy string")
+
+
+_KNN = """WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS node, {l2} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 {skip}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node) AS rank FROM d)
+ SELECT query_id, CAST(rank AS INTEGER) AS rank, node FROM r WHERE rank <= {k}"""
 
 
 @query()
@@ -248,6 +316,15 @@ def topk_ann(spark, sf_dir):
     return ivf.search(index, spark, _first(spark, sf_dir), 10, 64).select("node", "distance")
 
 
+@query(_KNN.format(l2=_L2.format(a="a.embedding", b="b.embedding"), skip="", k=10))
+def ann_batch_all_lists(spark, sf_dir):
+    """Through inverted lists of which every query probes all: no more than exact search finds, and no less."""
+    df = records(spark, sf_dir)
+    n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
+    index = ivf.build(df, files.shared(spark, "lists"), "l2", n, dim)
+    return ivf.search_many(index, df.where("node % 20 = 0"), 10, n).select("query_id", "rank", "node")
+
+
 @query(f"SELECT CAST(vec_id AS VARCHAR) AS id, {_COSINE} AS distance FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) ORDER BY distance, vec_id LIMIT 5")
 def topk_like(spark, sf_dir):
     df = records(spark, sf_dir)
@@ -260,11 +337,6 @@ def topk_portable(spark, sf_dir):
     return search.portable(search.top_k(records(spark, sf_dir), _first(spark, sf_dir), 10, "cosine").select("id", "distance"))
 
 
-_KNN = """WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS node, {l2} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 {skip}),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node) AS rank FROM d)
- SELECT query_id, CAST(rank AS INTEGER) AS rank, node FROM r WHERE rank <= {k}"""
-
-
 @query(_KNN.format(l2=_L2.format(a="a.embedding", b="b.embedding"), skip="", k=10))
 def knn_batch(spark, sf_dir):
     df = records(spark, sf_dir)
@@ -277,6 +349,16 @@ def recall_truth(spark, sf_dir):
     return search.knn(df, df.where("node % 20 = 0"), 5, "l2", skip_self=True).select("query_id", "rank", "node")
 
 
+_SIGNS = "list_transform({t}.embedding[1:3], lambda x: sign(x))"
+
+
+@query(_KNN.format(l2=_L2.format(a=_SIGNS.format(t="a"), b=_SIGNS.format(t="b")), skip="", k=10))
+def knn_ties(spark, sf_dir):
+    """Vectors of three signs: hundreds are equally near to each query, and the earliest nodes count."""
+    df = records(spark, sf_dir).withColumn("vector", F.transform(F.slice("vector", 1, 3), lambda x: F.signum(x)))
+    return search.knn(df, df.where("node % 20 = 0"), 10, "l2").select("query_id", "rank", "node")
+
+
 @query()
 def recall_report(spark, sf_dir):
     """A database of all the vectors, and how many exact neighbours its index finds (of a sample: that is the feature)."""
@@ -338,16 +420,53 @@ def compact_view(spark, sf_dir):
     return mutations.compacted(nodes(spark, sf_dir)).select("id", "node")
 
 
-@query("SELECT count(*) FILTER (WHERE vec_id % 11 <> 0) AS live, count(*) FILTER (WHERE vec_id % 11 = 0) AS deleted FROM embeddings")
+@query("SELECT CAST(user_id AS VARCHAR) AS id, CAST(max_by(event_id, event_id) AS DOUBLE) AS last, '\"' || max_by(event_type, event_id) || '\"' AS metadata_json FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'purchase'")
+def upsert_commits(spark, sf_dir):
+    """Events as writes to their user, in three commits; then users whose last event is a purchase are deleted in one go."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), "event_id", F.concat(F.lit('"'), "event_type", F.lit('"')).alias("metadata_json"))
+    edges = e.agg(F.percentile(F.col("event_id"), F.array(F.lit(0.0), F.lit(0.4), F.lit(0.7)))).first()[0]
+    with Database.create(spark, files.shared(spark, "events")) as db:
+        c = db.create_collection("users", 1, "l2")
+        for low, high in zip(edges, [*edges[1:], float("inf")], strict=True):
+            batch = e.where((F.col("event_id") >= low) & (F.col("event_id") < high)).orderBy("event_id")
+            c.upsert_frame(batch.select("id", F.array(F.col("event_id").cast("float")).alias("vector"), "metadata_json"))
+            db.save()
+        c.delete_frame(c.records().where(filters.compiled(F.col("metadata_json") == '"purchase"')))
+    return Database.open(spark, db.path).collection("users").records().select("id", F.col("vector")[0].cast("double").alias("last"), "metadata_json")
+
+
+@query(f"SELECT count(*) AS live, (SELECT count(*) FROM embeddings) - count(*) AS deleted FROM {_LIVE}")
 def stats_counts(spark, sf_dir):
-    return nodes(spark, sf_dir).agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("deleted"))
+    s = collection(spark, sf_dir).stats()
+    return _one(spark, (s["live"], s["deleted"]), "live long, deleted long")
 
 
-@query("SELECT count(*) * 64 * 4 AS f32_bytes, count(*) * (64 + 4) AS int8_bytes FROM embeddings")
+@query("SELECT count(*) * max(len(embedding)) * 4 AS f32_bytes, count(*) * (max(len(embedding)) + 4) AS int8_bytes FROM embeddings")
 def stats_bytes(spark, sf_dir):
-    return nodes(spark, sf_dir).agg((F.count("*") * 64 * 4).alias("f32_bytes"), (F.count("*") * (64 + 4)).alias("int8_bytes"))
+    """Of the collection, and of one of its vectors as int8 codes."""
+    with Database.create(spark, files.shared(spark, "codes")) as db:
+        c = collection(spark, sf_dir)
+        codes = db.create_collection("codes", c.config.dim, "l2", precision="int8")
+        codes.upsert_frame(records(spark, sf_dir).select("id", "vector"))
+    return _one(spark, (c.stats()["vector_bytes"], codes.stats()["vector_bytes"]), "f32_bytes long, int8_bytes long")
 
 
 @query(f"SELECT CAST(sum(strlen({_META})) AS BIGINT) AS metadata_bytes FROM embeddings")
 def stats_metadata_bytes(spark, sf_dir):
-    return nodes(spark, sf_dir).agg(F.sum(F.octet_length("metadata_json")).alias("metadata_bytes"))
+    return _one(spark, (collection(spark, sf_dir).stats()["metadata_bytes"],), "metadata_bytes long")
+
+
+@query("SELECT count(*) FILTER (WHERE vec_id % 11 <> 0) AS before, count(*) FILTER (WHERE vec_id % 11 <> 0 AND vec_id % 3 <> 0) AS after FROM embeddings")
+def snapshot_counts(spark, sf_dir):
+    """A snapshot under a lease keeps what a later commit deletes, vacuum or not."""
+    with Database.create(spark, files.shared(spark, "snapshot")) as db:
+        c = db.create_collection("x", 2, "l2")
+        rows = records(spark, sf_dir).where("node % 11 <> 0")
+        c.upsert_frame(rows.select("id", F.slice("vector", 1, 2).alias("vector")))
+        db.save()
+        view = db.snapshot(lease=3600)
+        c.delete_frame(rows.where("node % 3 = 0"))
+        c.compact()
+        db.save()
+        db.vacuum()
+    return _one(spark, (view.collection("x").records().count(), c.records().count()), "before long, after long")

@@ -2,8 +2,8 @@
 
 A record's metadata becomes a map from object path to (equality token, number).
 Filters are then native Column expressions over map lookups, which tell missing
-from null and 1 from "1" or true.  The projection is made once, at ingest, by an
-Arrow UDF.
+from null and 1 from "1" or true.  The projection is made by an Arrow UDF; stored
+collections do so once, when a record is written.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ from ..errors import InvalidArgument
 MAX_DIM = 65_536
 #: Largest squared norm that a vector may have: float32's largest number over 8.
 MAX_SQUARED = 3.4028234663852886e38 / 8
+#: Smallest squared norm that has a direction: float32's smallest normal number.
+MIN_SQUARED = 1.1754943508222875e-38
 METRICS = ("cosine", "l2", "dot")
 _ALIASES = {"euclidean": "l2", "ip": "dot", "inner_product": "dot"}
 
@@ -72,7 +74,7 @@ def problem(v: Column, dim: int, kind: str) -> Column:
     """Why a vector can't be stored, or null: dimension, not finite, too large, zero (cosine only)."""
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     why = F.when(v.isNull() | (F.size(v) != dim), "dimension").when(odd, "not finite").when(squared_norm(v) > MAX_SQUARED, "too large")
-    return why.when(squared_norm(v) == 0, "zero") if metric(kind) == "cosine" else why
+    return why.when(squared_norm(v) < MIN_SQUARED, "zero") if metric(kind) == "cosine" else why
 
 
 def int8_scale(v: Column) -> Column:

@@ -35,12 +35,16 @@ def without(current: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def compacted(nodes: DataFrame) -> DataFrame:
-    """Live nodes numbered from 0 in physical order.
+    """Live nodes numbered from 0 in physical order."""
+    return renumbered(live(nodes))
+
+
+def renumbered(alive: DataFrame) -> DataFrame:
+    """Nodes numbered from 0 in their order.
 
     Numbers come from counts of each range of nodes and a row number within it,
     so no task holds all rows.
     """
-    alive = live(nodes)
     span = 1 << 16
     ranged = alive.withColumn("_range", F.floor(F.col("node") / span))
     counts = ranged.groupBy("_range").count()

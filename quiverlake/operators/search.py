@@ -18,8 +18,8 @@ from pyspark.sql.types import FloatType
 from ..errors import InvalidArgument
 from ..functions import vectors as V
 
-#: Queries of a block, and candidates that they are multiplied by at a time.
-QUERY_BLOCK, TILE = 512, 8_192
+#: Queries of a block, candidates that they are multiplied by at a time, and numbers of pairs that are scored again together.
+QUERY_BLOCK, TILE, PAIR_NUMBERS = 512, 8_192, 4_000_000
 #: Numbers that a lane of candidates has at most (about), and rows that are worth a lane of their own.
 LANE_NUMBERS, LANE_ROWS = 8_000_000, 500
 
@@ -50,7 +50,7 @@ def portable(hits: DataFrame) -> DataFrame:
 def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
-    return (1.0 - q @ x.T) if metric == "cosine" else -(q @ x.T)
+    return np.maximum(0.0, 1.0 - q @ x.T) if metric == "cosine" else -(q @ x.T)
 
 
 def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -62,23 +62,30 @@ def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _nearest(qid: np.ndarray, q: np.ndarray, node: np.ndarray, x: np.ndarray, k: int, metric: str, skip_self: bool) -> pa.RecordBatch:
-    """The k best of the candidates for each query, tile by tile."""
+    """The k best of the candidates for each query, tile by tile; ties to the smaller node.
+
+    All that the product puts no farther out than its k-th, give or take its
+    rounding, are scored again one by one, however many are equally far.
+    """
     best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    squares = lambda v: (v * v).sum(1)
     for at in range(0, len(x), TILE):
         n, y = node[at : at + TILE], x[at : at + TILE]
         d = _distances(q, y, metric)
         if skip_self:
             d[qid[:, None] == n[None, :]] = np.inf
-        keep = min(len(n), k + 8)  # a margin for the rounding of the product
-        near = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-        i, j = np.repeat(np.arange(len(q)), keep), near.reshape(-1)
-        ok = np.isfinite(d[i, j])
-        i, j = i[ok], j[ok]
-        i, m, s = (np.concatenate(c) for c in zip(best, (i, n[j], _exact(q[i], y[j], metric)), strict=True))
-        order = np.lexsort((m, s, i))
-        i, m, s = i[order], m[order], s[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        best = [i[first], m[first], s[first]]
+        keep = min(len(n), k)
+        slack = 8 * y.shape[1] * np.finfo(float).eps * (1 + squares(q) + squares(y).max())
+        near = np.isfinite(d) & (d <= (np.partition(d, keep - 1, axis=1)[:, keep - 1] + slack)[:, None])
+        held = np.cumsum(near.sum(1) * y.shape[1]) // PAIR_NUMBERS
+        for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(held)) + 1):
+            i, j = np.nonzero(near[part])
+            i = part[i]
+            i, m, s = (np.concatenate(c) for c in zip(best, (i, n[j], _exact(q[i], y[j], metric)), strict=True))
+            order = np.lexsort((m, s, i))
+            i, m, s = i[order], m[order], s[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            best = [i[first], m[first], s[first]]
     return pa.RecordBatch.from_arrays([pa.array(qid[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "node", "distance"])
 
 
@@ -96,8 +103,8 @@ def _query_blocks(single: bool):
     return run
 
 
-def _lanes(k: int, metric: str, skip_self: bool, single: bool):
-    """A lane's candidates, then the blocks of queries that ask it -> their best k in the lane."""
+def _lanes(k: int, metric: str, skip_self: bool, single: bool | None):
+    """A lane's candidates, then the queries that ask it -> their best k in the lane.  Queries come in packed blocks, or (``single`` None) as rows like the candidates."""
     kind = np.float32 if single else np.float64
 
     def run(batches):
@@ -118,6 +125,11 @@ def _lanes(k: int, metric: str, skip_self: bool, single: bool):
                 if not nodes:
                     continue
                 nodes, rows = [np.concatenate(nodes)], [np.concatenate(rows)]
+                if single is None:
+                    qid, q = np.asarray(part.column(2), np.int64), np.asarray(part.column(3).flatten(), np.float64).reshape(b - a, -1)
+                    for i in range(0, len(qid), QUERY_BLOCK):
+                        yield _nearest(qid[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK], nodes[0], rows[0], k, metric, skip_self)
+                    continue
                 for ids, packed in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
                     qid = np.frombuffer(ids, np.int64)
                     yield _nearest(qid, np.frombuffer(packed, kind).astype(np.float64).reshape(len(qid), -1), nodes[0], rows[0], k, metric, skip_self)
@@ -145,5 +157,10 @@ def knn(records: DataFrame, queries: DataFrame, k: int, metric: str, skip_self:
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("node"), F.lit(None).cast(base.schema["vector"].dataType).alias("vector"), "ids", "packed")
     met = own.unionByName(asked).repartitionById(min(lanes, partitions), "lane").sortWithinPartitions("lane", "asks")
     found = met.mapInArrow(_lanes(k, metric, skip_self, single), "query_id long, node long, distance double")
+    return merged(found, k)
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The best k of each query's rows (query_id, node, distance), with their rank."""
     best = Window.partitionBy("query_id").orderBy("distance", "node")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "node", "distance")

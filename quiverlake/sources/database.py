@@ -4,6 +4,12 @@ A commit is one catalog file, created under the next number only if that is
 free.  Readers hold a number and so see one whole state; data files that no
 catalog names (a writer that failed) are never seen.  A second writer that
 started from the same number gets Conflict.
+
+What a write replaces or deletes is settled when it is written: beside its data
+files a collection has lists of dead nodes, and the catalog has the counts.  A
+scan is thus the files less the dead nodes, with no shuffle while these can be
+broadcast, and counts read no data at all.  Metadata is stored as the map that
+filters run on, beside its text.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 import base64
 import bisect
 import copy
+import hashlib
 import itertools
 import json
 import time
@@ -18,20 +25,25 @@ import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.errors import PythonException
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import AlreadyExists, Conflict, CorruptData, InvalidArgument, NotFound
 from ..functions import metadata as M
 from ..functions import vectors as V
 from ..operators import filters, ivf, search
-from ..operators.mutations import compacted, live
+from ..operators.mutations import renumbered
 from ..plans import planner
 from . import files
 
-FORMAT = 1
+FORMAT = 2
 RECORD = "id string, ordinal long, vector array<float>, metadata_json string"
-STORED = "id string, node long, deleted boolean, vector array<float>, codes array<tinyint>, scale float, metadata_json string"
+STORED = "id string, node long, vector array<float>, codes array<tinyint>, scale float, metadata_json string, meta map<string,struct<eq:string,num:double>>"
+#: Dead nodes, or ids of a write, that may be broadcast; beyond it Spark joins as it sees fit.
+BROADCAST_ROWS = 1_000_000
+#: A collection that has grown by this factor since its index was built gets a new one.
+REBUILD = 2
 MAX_BATCH, MAX_ID_BYTES = 256, 65_536
 #: Numbers of nodes that are counted together when a sample is drawn; a power of two.
 NODE_SPAN = 65_536
@@ -84,7 +96,8 @@ class Database:
     def __init__(self, spark: SparkSession, path: str, state: dict, read_only: bool, policy: CheckpointPolicy):
         self.spark, self.path, self.read_only, self.policy = spark, path.rstrip("/"), read_only, policy
         self._state, self._saved = copy.deepcopy(state), copy.deepcopy(state)
-        self._indexes: dict[str, tuple[list, ivf.Lists]] = {}
+        self._indexes: dict[str, tuple[dict, ivf.Lists]] = {}
+        self._lease: str | None = None
 
     # opening
 
@@ -97,8 +110,8 @@ class Database:
         path = path.rstrip("/")
         if cls._commits(spark, path):
             raise AlreadyExists(f"{path} holds a database")
-        state = {"format": FORMAT, "identity": uuid.uuid4().hex, "sequence": 0, "delta_bytes": 0, "delta_commits": 0, "checkpoints": 0, "collections": {}}
-        if not files.publish(spark, f"{path}/catalog/{0:020d}.json", json.dumps(state).encode()):
+        state: dict = {"format": FORMAT, "identity": uuid.uuid4().hex, "sequence": 0, "delta_bytes": 0, "delta_commits": 0, "checkpoints": 0, "collections": {}}
+        if not files.publish(spark, f"{path}/catalog/{0:020d}.json", _sealed(state)):
             raise AlreadyExists(f"{path} holds a database")
         return cls(spark, path, state, False, policy or CheckpointPolicy())
 
@@ -109,13 +122,48 @@ class Database:
         if not commits or (sequence is not None and sequence not in commits):
             raise NotFound(f"no such database or commit: {path}")
         at = commits[-1] if sequence is None else sequence
+        state = cls._catalog(spark, path, at)
+        if state.get("format") != FORMAT:
+            raise CorruptData(f"catalog {at} has format {state.get('format')}; upgrade() brings older ones to {FORMAT}")
+        return cls(spark, path, state, read_only or sequence is not None, policy or CheckpointPolicy())
+
+    @staticmethod
+    def _catalog(spark, path, at: int) -> dict:
         try:
-            state = json.loads(files.read(spark, f"{path}/catalog/{at:020d}.json"))
-        except ValueError as e:
+            sealed = json.loads(files.read(spark, f"{path}/catalog/{at:020d}.json"))
+            state = sealed["state"] if "sha256" in sealed else sealed  # format 1 has no seal
+            if sealed.get("sha256") not in (None, _digest(state)) or state["sequence"] != at:
+                raise ValueError
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
             raise CorruptData(f"catalog {at} is damaged") from e
-        if state.get("format") != FORMAT or state.get("sequence") != at:
-            raise CorruptData(f"catalog {at} is of another format or number")
-        return cls(spark, path, state, read_only or sequence is not None, policy or CheckpointPolicy())
+        return state
+
+    @classmethod
+    def upgrade(cls, spark: SparkSession, path: str) -> Database:
+        """Opens a database, rewriting one of format 1 first; its last commit stays as it was until vacuum()."""
+        path = path.rstrip("/")
+        commits = cls._commits(spark, path)
+        if not commits:
+            raise NotFound(f"no such database: {path}")
+        old = cls._catalog(spark, path, commits[-1])
+        if old.get("format") == FORMAT:
+            return cls.open(spark, path)
+        if old.get("format") != 1:
+            raise CorruptData(f"format {old.get('format')} is unknown")
+        db = cls(spark, path, old | {"format": FORMAT}, False, CheckpointPolicy())
+        db._saved = old
+        former = "id string, node long, deleted boolean, vector array<float>, codes array<tinyint>, scale float, metadata_json string"
+        for name, c in db._state["collections"].items():
+            was, c["files"] = c["files"], []
+            c |= {"live": 0, "rows": 0, "dead": [], "dead_rows": 0, "index": None}
+            if was:
+                rows = spark.read.schema(former).parquet(*[f"{path}/{f}" for f in was])
+                last = rows.groupBy("id").agg(F.max(F.struct("node", "deleted")).alias("last")).select(F.col("last.node").alias("node"), F.col("last.deleted").alias("gone"))
+                collection = Collection(db, name)
+                collection._keep(rows.where(~F.col("deleted")).drop("deleted"))
+                collection._bury(collection.nodes().select("node").join(last.where("not gone").select("node"), "node", "left_anti"))
+        db.save()
+        return db
 
     @classmethod
     def open_read_only(cls, spark, path) -> Database:
@@ -125,9 +173,38 @@ class Database:
     def open_or_create(cls, spark, path) -> Database:
         return cls.open(spark, path) if cls._commits(spark, path.rstrip("/")) else cls.create(spark, path)
 
-    def snapshot(self) -> Database:
-        """A read-only view of the last saved state; later commits don't show."""
-        return Database.open(self.spark, self.path, sequence=self._saved["sequence"])
+    def snapshot(self, lease: float | None = None) -> Database:
+        """A read-only view of the last saved state; later commits don't show.
+
+        With a lease, vacuum() leaves its files alone for so many seconds, or until release().
+        """
+        view = Database.open(self.spark, self.path, sequence=self._saved["sequence"])
+        if lease is not None:
+            if not lease > 0:
+                raise InvalidArgument("a lease lasts some seconds")
+            view._lease = f"{self.path}/leases/{uuid.uuid4().hex}.json"
+            files.write(self.spark, view._lease, json.dumps({"sequence": view.sequence, "until": time.time() + lease}).encode())
+        return view
+
+    def release(self) -> None:
+        """Gives up the snapshot's lease."""
+        if self._lease is not None:
+            files.delete(self.spark, self._lease)
+            self._lease = None
+
+    def _leased(self) -> set[int]:
+        """Commits under a lease; leases that have run out are removed."""
+        held = set()
+        for name in files.names(self.spark, f"{self.path}/leases"):
+            try:
+                lease = json.loads(files.read(self.spark, f"{self.path}/leases/{name}"))
+            except ValueError:  # being written: it counts for all
+                return set(self._commits(self.spark, self.path))
+            if lease["until"] > time.time():
+                held.add(lease["sequence"])
+            else:
+                files.delete(self.spark, f"{self.path}/leases/{name}")
+        return held
 
     def __enter__(self) -> Database:
         return self
@@ -168,7 +245,7 @@ class Database:
                     raise Conflict("the token was used with another definition")
                 return Collection(self, name)
             raise AlreadyExists(f"collection {name!r} exists")
-        self._state["collections"][name] = {"uid": uuid.uuid4().hex, "token": token, "config": config, "next": 0, "files": []}
+        self._state["collections"][name] = {"uid": uuid.uuid4().hex, "token": token, "config": config, "next": 0, "files": [], "rows": 0, "live": 0, "dead": [], "dead_rows": 0, "index": None}
         return Collection(self, name)
 
     def collection(self, name: str) -> Collection:
@@ -197,7 +274,7 @@ class Database:
         new = copy.deepcopy(self._state)
         new["sequence"] += 1
         new["delta_commits"] += 1
-        if not files.publish(self.spark, f"{self.path}/catalog/{new['sequence']:020d}.json", json.dumps(new).encode()):
+        if not files.publish(self.spark, f"{self.path}/catalog/{new['sequence']:020d}.json", _sealed(new)):
             raise Conflict("the database was changed through another handle")
         self._state, self._saved = new, copy.deepcopy(new)
         if new["delta_commits"] >= self.policy.commits or new["delta_bytes"] >= self.policy.bytes:
@@ -213,38 +290,66 @@ class Database:
         self._saved = copy.deepcopy(self._state)
 
     def checkpoint(self) -> int:
-        """Merges each collection's files into one; replaced and deleted nodes stay until compact()."""
+        """Merges each collection's files into one, and its lists of dead nodes; these stay until compact()."""
         self._writable()
         for name, c in self._state["collections"].items():
+            own = Collection(self, name)
             if len(c["files"]) > 1:
-                c["files"] = [self._write(c["uid"], Collection(self, name).nodes())]
+                merged = self._write("data", c["uid"], own.stored())
+                if c["index"] is not None and set(c["index"]["files"]) >= set(c["files"]):
+                    c["index"]["files"] = [merged]  # the same nodes
+                c["files"] = [merged]
+            if len(c["dead"]) > 1:
+                c["dead"] = [self._write("dead", c["uid"], own.dead().distinct())]
         self._state |= {"delta_bytes": 0, "delta_commits": -1, "checkpoints": self._state["checkpoints"] + 1}
         return self.save()
 
     def vacuum(self, keep: int = 1) -> None:
-        """Deletes data files that none of the newest ``keep`` commits names, and older commits."""
+        """Deletes files that none of the newest ``keep`` commits names, nor one under a lease, and the older commits."""
         self._writable()
         commits = self._commits(self.spark, self.path)
-        kept = commits[-max(1, keep) :]
+        leased = self._leased()
+        kept = [c for c in commits if c in leased or c in commits[-max(1, keep) :]]
         used = set()
-        for at in kept:
-            for c in json.loads(files.read(self.spark, f"{self.path}/catalog/{at:020d}.json"))["collections"].values():
-                used |= set(c["files"])
-        for at in commits[: -len(kept)]:
-            files.delete(self.spark, f"{self.path}/catalog/{at:020d}.json")
-        for uid in files.names(self.spark, f"{self.path}/data"):
-            for f in files.names(self.spark, f"{self.path}/data/{uid}"):
-                if f"data/{uid}/{f}" not in used:
-                    files.delete(self.spark, f"{self.path}/data/{uid}/{f}")
-
-    def _write(self, uid: str, df: DataFrame) -> str:
-        at = f"data/{uid}/{uuid.uuid4().hex}"
+        for state in [self._state, *(self._catalog(self.spark, self.path, at) for at in kept)]:
+            for c in state["collections"].values():
+                used |= {*c["files"], *c.get("dead", [])} | ({c["index"]["path"]} if c.get("index") else set())
+        for at in commits:
+            if at not in kept:
+                files.delete(self.spark, f"{self.path}/catalog/{at:020d}.json")
+        for kind in ("data", "dead", "index"):
+            for uid in files.names(self.spark, f"{self.path}/{kind}"):
+                for f in files.names(self.spark, f"{self.path}/{kind}/{uid}"):
+                    if f"{kind}/{uid}/{f}" not in used:
+                        files.delete(self.spark, f"{self.path}/{kind}/{uid}/{f}")
+
+    def verify(self) -> None:
+        """Reads every file of the last commit, page checksums included; CorruptData if rows are missing or damaged."""
+        for name, c in self._saved["collections"].items():
+            own = Collection(Database.open(self.spark, self.path, sequence=self._saved["sequence"]), name)
+            try:
+                rows, total = own.nodes().agg(F.count("*"), F.sum(F.xxhash64("id", "node", "vector", "codes", "scale", "metadata_json").cast("decimal(38,0)"))).first()
+            except Exception as e:
+                raise CorruptData(f"collection {name!r} can't be read: {e}") from e
+            if rows != c["rows"] or (total is None) != (rows == 0):
+                raise CorruptData(f"collection {name!r} has {rows} rows, not {c['rows']}")
+
+    def _write(self, kind: str, uid: str, df: DataFrame) -> str:
+        at = f"{kind}/{uid}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{at}")
         fs, p = files.located(self.spark, f"{self.path}/{at}")
         self._state["delta_bytes"] += fs.getContentSummary(p).getLength()
         return at
 
 
+def _digest(state: dict) -> str:
+    return hashlib.sha256(json.dumps(state, sort_keys=True).encode()).hexdigest()
+
+
+def _sealed(state: dict) -> bytes:
+    return json.dumps({"sha256": _digest(state), "state": state}).encode()
+
+
 class Collection:
     """A handle; it stops working when its collection is dropped, even if another of that name is created."""
 
@@ -265,23 +370,41 @@ class Collection:
 
     # scans
 
-    def nodes(self) -> DataFrame:
-        """Every stored row: replaced nodes and deletes too."""
-        paths = [f"{self.db.path}/{f}" for f in self._entry["files"]]
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(*paths)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.db.path}/{f}" for f in paths])
+
+    def stored(self, paths: list[str] | None = None) -> DataFrame:
+        """Every stored row, of all files or of some: replaced and deleted nodes too."""
+        return self._read(self._entry["files"] if paths is None else paths, STORED)
+
+    def dead(self) -> DataFrame:
+        """(node) of what has been replaced or deleted; broadcast while its number allows it."""
+        gone = self._read(self._entry["dead"], "node long")
+        return F.broadcast(gone) if self._entry["dead_rows"] <= BROADCAST_ROWS else gone
+
+    def nodes(self) -> DataFrame:
+        """Every stored row, and whether it is ``deleted``."""
+        rows = self.stored()
+        if not self._entry["dead"]:
+            return rows.withColumn("deleted", F.lit(False))
+        marked = rows.join(self.dead().withColumn("gone", F.lit(True)), "node", "left")
+        return marked.withColumn("deleted", F.col("gone").isNotNull()).drop("gone")
 
     def _vector(self) -> Column:
         return F.coalesce("vector", V.int8_decoded(F.col("codes"), F.col("scale")))
 
-    def records(self) -> DataFrame:
-        """Live records (id, node, vector, metadata_json), int8 ones decoded."""
-        return live(self.nodes()).select("id", "node", self._vector().alias("vector"), "metadata_json")
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.dead(), "node", "left_anti") if self._entry["dead"] else rows
+
+    def records(self, paths: list[str] | None = None) -> DataFrame:
+        """Live records (id, node, vector, metadata_json, meta), int8 ones decoded."""
+        int8 = self.config.precision == "int8"
+        return self._alive(self.stored(paths)).select("id", "node", self._vector().alias("vector") if int8 else "vector", "metadata_json", "meta")
 
     def count(self) -> int:
-        newest = self.nodes().groupBy("id").agg(F.max(F.struct("node", "deleted")).alias("last"))
-        return newest.where(~F.col("last.deleted")).count()
+        return self._entry["live"]
 
     __len__ = count
 
@@ -289,9 +412,7 @@ class Collection:
         return self.count() == 0
 
     def _last(self, id: str) -> Row | None:
-        own = self.nodes().where(F.col("id") == id)
-        row = own.orderBy(F.desc("node"), F.desc("deleted")).select("id", "node", "deleted", self._vector().alias("vector"), "metadata_json").first()
-        return None if row is None or row["deleted"] else row
+        return self.records().where(F.col("id") == id).first()  # one node of an id lives at most
 
     def get(self, id: str) -> Row | None:
         row = self._last(id)
@@ -329,18 +450,57 @@ class Collection:
 
     # mutations
 
+    def _keep(self, rows: DataFrame) -> str:
+        """Writes rows (id, node, vector, codes, scale, metadata_json) as a data file of the collection."""
+        names = [f.split()[0] for f in STORED.split(", ")]
+        try:
+            path = self.db._write("data", self._uid, rows.withColumn("meta", M.projection(F.col("metadata_json"))).select(*names))
+        except PythonException as e:
+            if "InvalidArgument" in str(e):
+                raise InvalidArgument("metadata is no valid JSON: " + str(e).split("InvalidArgument:")[-1].split("\n")[0].strip()) from e
+            raise
+        n = self.stored([path]).count()
+        self._entry["files"].append(path)
+        self._entry["rows"] += n
+        self._entry["live"] += n
+        return path
+
+    def _bury(self, nodes: DataFrame) -> int:
+        """Marks live nodes as dead and returns how many."""
+        path = self.db._write("dead", self._uid, nodes)
+        n = self._read([path], "node long").count()
+        if n:
+            self._entry["dead"].append(path)
+            self._entry["dead_rows"] += n
+            self._entry["live"] -= n
+        return n
+
     def _stage(self, batch: DataFrame, rows: int) -> None:
-        """batch: (id, ordinal from 0, vector, metadata_json), validated."""
+        """batch: (id, ordinal from 0, vector, metadata_json), validated.  All of it is staged, or nothing."""
         c, entry = self.config, self._entry
+        before = copy.deepcopy(entry)
         v = V.normalized(F.col("vector")) if c.metric == "cosine" else F.col("vector")
-        df = batch.select("id", (F.col("ordinal") + entry["next"]).alias("node"), F.lit(False).alias("deleted"), v.alias("vector"), "metadata_json")
+        df = batch.select("id", (F.col("ordinal") + entry["next"]).alias("node"), v.alias("vector"), "metadata_json")
         if c.precision == "int8":
             df = df.withColumn("_scale", V.int8_scale(F.col("vector"))).withColumn("codes", V.int8_codes(F.col("vector"), F.col("_scale")))
             df = df.withColumn("scale", V.int8_stored_scale(F.col("codes"), F.col("_scale"), c.metric)).withColumn("vector", F.lit(None).cast("array<float>"))
         else:
             df = df.withColumn("codes", F.lit(None).cast("array<tinyint>")).withColumn("scale", F.lit(None).cast("float"))
-        entry["files"].append(self.db._write(entry["uid"], df.select("id", "node", "deleted", "vector", "codes", "scale", "metadata_json")))
-        entry["next"] += rows
+        try:
+            old = self._alive(self.stored()).select("id", "node") if entry["files"] else None
+            new = self.stored([self._keep(df)]).select("id", "node")
+            # the last of a batch's equal ids counts, and it replaces what lived under the id
+            last = new.groupBy("id").agg(F.max("node").alias("last"), F.count("*").alias("times"))
+            again = last.where("times > 1")
+            replaced = new.join(again, "id").where("node < last").select("node")
+            if old is not None:
+                ids = last.select("id")
+                replaced = replaced.unionByName(old.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "id", "left_semi").select("node"))
+            self._bury(replaced)
+            entry["next"] += rows
+        except BaseException:
+            entry.update(before)
+            raise
 
     def upsert_frame(self, df: DataFrame) -> int:
         """Bulk upsert of (id, vector, metadata_json or none): all rows or none; of equal ids the last in order counts.  Returns the rows written."""
@@ -390,30 +550,29 @@ class Collection:
         return self.upsert_many(records)
 
     def delete(self, id: str) -> bool:
+        return bool(self.delete_frame(self.spark.createDataFrame([(id,)], "id string")))
+
+    def delete_frame(self, ids: DataFrame) -> int:
+        """Deletes all records whose id is in ``ids`` (id), in one pass, and returns how many there were."""
         self.db._writable()
-        if not self.contains(id):
-            return False
-        entry = self._entry
-        row = self.spark.createDataFrame([(id, max(0, entry["next"] - 1), True, None, None, None, None)], STORED)
-        entry["files"].append(self.db._write(entry["uid"], row))
-        return True
+        if not self._entry["files"]:
+            return 0
+        return self._bury(self.records().select("id", "node").join(ids.select(F.col("id").cast("string")).distinct(), "id", "left_semi").select("node"))
 
     def compact(self) -> int:
         """Rewrites the live nodes, numbered anew in order, and returns how many went."""
         self.db._writable()
-        stats, entry = self.stats(), self._entry
-        if stats["deleted"] == 0:
+        entry = self._entry
+        gone = entry["rows"] - entry["live"]
+        if gone == 0:
             return 0
-        columns = ["id", "node", "deleted", "vector", "codes", "scale", "metadata_json"]
-        entry["files"] = [self.db._write(entry["uid"], compacted(self.nodes()).select(*columns))]
-        entry["next"] = stats["live"]
-        return stats["deleted"]
+        alive = renumbered(self._alive(self.stored())).select(*[f.split()[0] for f in STORED.split(", ")])
+        entry["files"] = [self.db._write("data", self._uid, alive)]
+        entry |= {"next": entry["live"], "rows": entry["live"], "dead": [], "dead_rows": 0, "index": None}
+        return gone
 
     # search
 
-    def _meta(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("meta", M.projection(F.col("metadata_json")))
-
     def _prepared(self, query) -> list[float]:
         c = self.config
         q = checked_vector(query, c.dim, c.metric)
@@ -423,37 +582,59 @@ class Collection:
         return q
 
     def _index(self) -> ivf.Lists:
-        key, entry = self._uid, self._entry
-        got = self.db._indexes.get(key)
-        if got is None or got[0] != entry["files"]:
-            path = f"{self.db.path}/index/{key}/{uuid.uuid4().hex}"
-            got = (list(entry["files"]), ivf.build(self._meta(self.records()), path, self.config.metric, self.count(), self.config.dim))
-            self.db._indexes[key] = got
-        return got[1]
+        """The index over all files: that of the catalog, with new files dealt to its lists, or a new one.
+
+        What is built here belongs to the catalog from the next save() on; a
+        read-only handle keeps it to itself, outside the database.
+        """
+        entry, saved = self._entry, self._entry["index"]
+        kept = self.db._indexes.get(self._uid)
+        if kept is not None and (saved is None or not set(saved["files"]) >= set(entry["files"])):
+            saved = kept[0]  # of this handle only
+        fits = saved is not None and set(saved["files"]) <= set(entry["files"]) and entry["live"] <= REBUILD * max(1, saved["rows"])
+        if fits and kept is not None and kept[0] == saved and set(saved["files"]) == set(entry["files"]):
+            return kept[1]
+        if fits and set(saved["files"]) == set(entry["files"]):
+            lists = ivf.load(self.spark, self._at(saved["path"]), saved["parts"])
+        elif fits and (not self.db.read_only or kept is not None and kept[0] == saved):
+            lists = kept[1] if kept is not None and kept[0] == saved else ivf.load(self.spark, self._at(saved["path"]), saved["parts"])
+            new = [f for f in entry["files"] if f not in saved["files"]]
+            lists = ivf.extend(lists, self.records(new), max(saved["parts"]) + 1)
+            saved = saved | {"files": list(entry["files"]), "parts": lists.parts}
+        else:
+            path = files.shared(self.spark, "index") if self.db.read_only else f"index/{self._uid}/{uuid.uuid4().hex}"
+            lists = ivf.build(self.records(), self._at(path), self.config.metric, entry["live"], self.config.dim)
+            ivf.save(self.spark, lists)
+            saved = {"path": path, "files": list(entry["files"]), "parts": lists.parts, "rows": entry["live"]}
+        if not self.db.read_only:
+            entry["index"] = saved
+        self.db._indexes[self._uid] = saved, lists
+        return lists
+
+    def _at(self, path: str) -> str:
+        return path if ":" in path or path.startswith("/") else f"{self.db.path}/{path}"
+
+    def build_index(self) -> dict:
+        """Brings the index up to date; save() makes it part of the database."""
+        lists = self._index()
+        return {"lists": len(lists.sizes), "largest": int(lists.sizes.max()), "empty": int((lists.sizes == 0).sum()), "rows": int(lists.sizes.sum())}
 
     def plan(self, k: int = 10, ef: int | None = None, exact: bool = False, filter=None) -> planner.Plan:
-        c, nodes = self.config, self.nodes()
-        share = None
-        total, alive = self._counts()
-        if filter is not None:
-            last = nodes.groupBy("id").agg(F.max(F.struct("node", "deleted")).alias("last")).select(F.col("last.node").alias("node")).where(~F.col("last.deleted"))
-            marked = self._meta(nodes.where(F.col("vector").isNotNull() | F.col("codes").isNotNull())).join(last.withColumn("alive", F.lit(True)), "node", "left").withColumn("deleted", F.col("alive").isNull())
-            share = planner.selectivity(marked, filters.compiled(filter), total)
-        return planner.choose(total, alive, c.dim, k, share, ef, c.ef_search, c.m, exact)
-
-    def _counts(self) -> tuple[int, int]:
-        return self.nodes().where(~F.col("deleted")).count(), self.count()
-
-    def _searched(self, q: list[float], k: int, plan: planner.Plan, where) -> tuple[DataFrame, str]:
-        """The hits, and the strategy that they come from in the end."""
+        c, entry = self.config, self._entry
+        share = None if filter is None else planner.selectivity(self.nodes(), filters.compiled(filter), entry["rows"])
+        return planner.choose(entry["rows"], entry["live"], c.dim, k, share, ef, c.ef_search, c.m, exact)
+
+    def _searched(self, q: list[float], k: int, plan: planner.Plan, where, seen: Observation | None = None) -> tuple[DataFrame, str]:
+        """The hits, and the strategy that they come from in the end; ``seen`` counts the rows that an exact scan compares."""
         if plan.strategy == "index":
             index = self._index()
-            hits = ivf.search(index, self.spark, q, k, plan.ef, where)
+            hits = ivf.search(index, self.spark, q, k, plan.ef, where, self._alive)
             if where is None or ivf.within_reach(index, self.spark, q, k, plan.ef, hits):
                 return hits, plan.strategy
-        base = self.records()
-        hits = search.top_k(base if where is None else self._meta(base), q, k, self.config.metric, where)
-        return hits, "filtered_exact" if plan.strategy == "index" else plan.strategy
+        base = self.records() if where is None else self.records().where(where)
+        if seen is not None:
+            base = base.observe(seen, F.count(F.lit(1)).alias("rows"))
+        return search.top_k(base, q, k, self.config.metric), "filtered_exact" if plan.strategy == "index" else plan.strategy
 
     def search_frame(self, query, k: int = 10, ef: int | None = None, exact: bool = False, filter=None, plan: planner.Plan | None = None) -> DataFrame:
         """(id, node, distance, metadata_json), nearest first.
@@ -470,22 +651,27 @@ class Collection:
         begin = time.perf_counter()
         q = self._prepared(query)
         plan = self.plan(k, ef, exact, filter)
-        where = None if filter is None else filters.compiled(filter)
-        found, strategy = self._searched(q, k, plan, where)
-        hits = found.select("id", "node", "distance", "metadata_json").collect()
-        if any(not np.isfinite(h["distance"]) for h in hits):
-            raise InvalidArgument("stored vectors exceed the distance limit")
-        visited = 0
+        seen = Observation(f"compared-{uuid.uuid4().hex}")
+        found, strategy = self._searched(q, k, plan, None if filter is None else filters.compiled(filter), seen)
+        hits = _finite(found.select("id", "node", "distance", "metadata_json").collect())
+        visited = seen.get["rows"] if strategy != "index" else 0
         if plan.strategy == "index":
             index = self._index()
-            visited = int(index.sizes[ivf.probed(index, np.asarray(q), plan.ef)].sum())
-        if strategy != "index":
-            base = self._meta(self.records())
-            visited += base.count() if where is None else base.where(where).count()
+            visited += int(index.sizes[ivf.probed(index, np.asarray(q), plan.ef)].sum())
         return Report(hits, strategy, plan.ef, visited, visited, plan.selectivity, time.perf_counter() - begin)
 
     def search(self, query, k: int = 10, **options) -> list[Row]:
-        return self.explain(query, k, **options).hits
+        return _finite(self.search_frame(query, k, **options).collect())
+
+    def search_batch(self, queries: DataFrame, k: int = 10, ef: int | None = None, exact: bool = False) -> DataFrame:
+        """(query_id, rank, node, distance) for many queries (node, vector), by the index or exactly.
+
+        Vectors are taken as they are stored: of unit length for cosine.
+        """
+        if exact:
+            return search.knn(self.records(), queries, k, self.config.metric)
+        search.check_k(k)
+        return ivf.search_many(self._index(), queries, k, max(ef or self.config.ef_search, k), self._alive)
 
     def search_portable(self, query, k: int = 10, **options) -> list[Row]:
         search.check_k(k, 10_000)
@@ -501,18 +687,20 @@ class Collection:
     # introspection
 
     def stats(self) -> dict:
-        c, stored = self.config, self.nodes().where(~F.col("deleted"))
-        total, alive = self._counts()
-        row = stored.agg(F.coalesce(F.sum(F.octet_length("metadata_json")), F.lit(0)).alias("b")).first()
+        c, entry = self.config, self._entry
+        text = self.stored().agg(F.coalesce(F.sum(F.octet_length("metadata_json")), F.lit(0)).alias("b")).first()
         each = c.dim + 4 if c.precision == "int8" else 4 * c.dim
         index = self.db._indexes.get(self._uid)
         return {
-            "live": alive, "deleted": total - alive, "vector_bytes": total * each, "metadata_bytes": row["b"],
+            "live": entry["live"], "deleted": entry["rows"] - entry["live"], "vector_bytes": entry["rows"] * each, "metadata_bytes": text["b"],
             "index_lists": len(index[1].sizes) if index else 0, "index_bytes": int(index[1].centers.nbytes) if index else 0,
         }
 
     def estimate_recall(self, k: int = 10, sample: int = 100, ef_values=(16, 64, 128), seed: int = planner.SEED) -> DataFrame:
-        """(ef, recall): how many of the exact neighbours of sampled records the index finds; each record's own is left out."""
+        """(ef, recall, visited_p50, visited_p95, queries, seconds): how many of the exact neighbours of sampled records the index finds.
+
+        Each record's own is left out.  All the sampled records are searched in one pass for each ef.
+        """
         ef_values = list(ef_values)
         if k < 1 or sample < 1 or not ef_values or min(ef_values) < 1:
             raise InvalidArgument("k, sample and ef values must be greater than zero")
@@ -538,19 +726,23 @@ class Collection:
         spans = spans.withColumn("place", F.row_number().over(Window.partitionBy("span").orderBy("node")))
         queries = spans.join(F.broadcast(asked), ["span", "place"]).drop("span", "place")
         k = min(k, live - 1)
-        truth = search.knn(base, queries, k, self.config.metric, skip_self=True).select("query_id", "node")
-        rows, index = queries.select("node", "vector").collect(), self._index()
-        true = {}
-        for r in truth.collect():
-            true.setdefault(r["query_id"], set()).add(r["node"])
-        out = []
+        sampled = self.spark.createDataFrame(queries.select("node", "vector").collect(), "node long, vector array<float>")  # ``sample`` rows at most
+        true = {(r["query_id"], r["node"]) for r in search.knn(base, sampled, k, self.config.metric, skip_self=True).select("query_id", "node").collect()}
+        rows, index, out = sampled.collect(), self._index(), []
         for ef in ef_values:
-            found = 0
-            for r in rows:
-                hits = ivf.search(index, self.spark, r["vector"], k, max(ef, k), F.col("node") != r["node"]).select("node").collect()
-                found += len(true[r["node"]] & {h["node"] for h in hits})
-            out.append((ef, found / (k * len(rows))))
-        return self.spark.createDataFrame(out, "ef int, recall double")
+            begin = time.perf_counter()
+            hits = ivf.search_many(index, sampled, k, max(ef, k), self._alive, skip_self=True).select("query_id", "node").collect()
+            took = time.perf_counter() - begin
+            visited = [int(index.sizes[ivf.probed(index, np.asarray(r["vector"], np.float64), max(ef, k))].sum()) for r in rows]
+            found = sum((h["query_id"], h["node"]) in true for h in hits)
+            out.append((ef, found / (k * len(rows)), int(np.percentile(visited, 50, method="lower")), int(np.percentile(visited, 95, method="higher")), len(rows), took))
+        return self.spark.createDataFrame(out, "ef int, recall double, visited_p50 long, visited_p95 long, queries int, seconds double")
+
+
+def _finite(hits: list[Row]) -> list[Row]:
+    if any(not np.isfinite(h["distance"]) for h in hits):
+        raise InvalidArgument("stored vectors exceed the distance limit")
+    return hits
 
 
 def checked_id(id) -> str:
@@ -571,6 +763,6 @@ def checked_vector(vector, dim: int, metric: str) -> list[float]:
     norm = float((x * x).sum())
     if not np.isfinite(x).all() or norm > V.MAX_SQUARED:
         raise InvalidArgument("a vector is not finite or too large")
-    if metric == "cosine" and norm < 1.1754943508222875e-38:
+    if metric == "cosine" and norm < V.MIN_SQUARED:
         raise InvalidArgument("a vector has no direction")
     return x.tolist()

@@ -68,7 +68,8 @@ def shared(spark: SparkSession, name: str) -> str:
     """A new location below ``spark.checkpoint.dir``; a local temporary one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

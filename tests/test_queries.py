@@ -109,6 +109,23 @@ def test_knn_over_many_lanes_matches_brute_force(spark, monkeypatch, metric):
         assert [got[i, k + 1][1] for k in range(7)] == pytest.approx([v for v, _ in expected], abs=1e-12)
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_nearest_takes_the_earliest_of_equals(metric, monkeypatch):
+    """Hundreds of equal vectors in any order, and pairs scored again a few at a time."""
+    monkeypatch.setattr(search, "PAIR_NUMBERS", 500)
+    monkeypatch.setattr(search, "TILE", 97)
+    rng = np.random.default_rng(8)
+    same = rng.standard_normal(5).astype(np.float32).astype(float)
+    same /= np.linalg.norm(same)
+    x = np.concatenate([np.tile(same, (400, 1)), np.tile(-same, (20, 1))])
+    for _ in range(20):
+        node = rng.permutation(len(x))
+        got = search._nearest(np.array([7_000, 3]), np.stack([same, same]), node, x, 5, metric, True).to_pydict()
+        equals = np.sort(node[:400])
+        assert got["query_id"] == [7_000] * 5 + [3] * 5
+        assert got["node"] == [*equals[:5], *equals[equals != 3][:5]]
+
+
 def test_knn_of_empty_sides(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "node long, vector array<float>")
     none = df.where("false")
