@@ -4,7 +4,12 @@ A page is cut into blocks.  Blocks within elements that never hold the article
 (menus, forms, comments and the like, by tag, role or class) are set aside.
 The first pass decides the others by length, stop-word density and link
 density; what is too short to tell inherits, in the second pass, the label of
-the nearest decided block of the same region.
+the nearest decided block of the same region.  Within an article a name that
+prose goes by as well (form-of-government, legal-history, related-work) only
+makes its element doubtful, a region of its own: long prose in it is main text.
+
+Work is proportional to the page: the elements that a tag may close are found
+by name, and both neighbours of every block in one sweep each.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ _MARKS = frozenset(
     "widget widgets pagination pager copyright legal disclaimer login signup signin register search searchbox skip tagcloud contentinfo complementary form feedback paywall".split()
 )
 _HEADER = frozenset("header banner masthead".split())
+# Those that, beside another word, may name a part of an article, too.
+_DOUBTFUL = frozenset("foot form legal register related response search share social".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
@@ -51,27 +58,35 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class _Block:
-    __slots__ = ("links", "region", "tag", "text")
+    __slots__ = ("doubtful", "links", "region", "tag", "text")
+
+    def __init__(self, tag: str, text: str, links: int, region: int, doubtful: bool = False):
+        self.tag, self.text, self.links, self.region, self.doubtful = tag, text, links, region, doubtful
+
 
-    def __init__(self, tag: str, text: str, links: int, region: int):
-        self.tag, self.text, self.links, self.region = tag, text, links, region
+#: Whether an element holds the article: it may, it is doubtful, it doesn't.
+_MAY, _DOUBT, _NEVER = 0, 1, 2
 
 
-def _surrounds(tag: str, attributes: str, in_article: bool) -> bool:
+def _surrounds(tag: str, attributes: str, in_article: bool) -> int:
     if tag in _ASIDE or (tag == "header" and not in_article):
-        return True
+        return _NEVER
+    worst = _MAY
     if not attributes.strip():
-        return False
+        return worst
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
+            return _NEVER
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             for word in value.split():
                 parts = [p.lower() for p in _PARTS.findall(word)]
-                if any(p in _MARKS for p in parts) or (not in_article and parts[-1:] and parts[-1] in _HEADER):
-                    return True
-    return False
+                marks = [p for p in parts if p in _MARKS]
+                if marks and in_article and name != "role" and len(marks) < len(parts) and all(p in _DOUBTFUL for p in marks):
+                    worst = _DOUBT
+                elif marks or (not in_article and parts[-1:] and parts[-1] in _HEADER):
+                    return _NEVER
+    return worst
 
 
 def _is_article(tag: str, attributes: str) -> bool:
@@ -81,22 +96,23 @@ def _is_article(tag: str, attributes: str) -> bool:
 def blocks(page: str) -> list[_Block]:
     """The page's blocks outside surrounding elements, in order.  region: 0 outside any article, else the number of the article."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, set aside, region
+    stack: list[tuple[str, int, int]] = []  # tag, set aside, region
+    depths: dict[str, list[int]] = {}  # of the open elements of each tag
     text: list[str] = []
     links, articles, at, tag_now = 0, 0, 0, "body"
-    aside, region, in_link = False, 0, 0
+    aside, region, in_link = _MAY, 0, 0
 
     def cut():
         nonlocal links
         joined = " ".join(_html.unescape("".join(text)).split())
         if joined:
-            out.append(_Block(tag_now, joined, min(links, len(joined)), region))
+            out.append(_Block(tag_now, joined, min(links, len(joined)), region, aside == _DOUBT))
         text.clear()
         links = 0
 
     def add(part: str):
         nonlocal links
-        if part and not aside:
+        if part and aside != _NEVER:
             text.append(part)
             if in_link:
                 links += len(" ".join(_html.unescape(part).split()))
@@ -105,8 +121,12 @@ def blocks(page: str) -> list[_Block]:
         nonlocal aside, region, in_link
         for tag, _, _ in stack[depth:]:
             in_link -= tag == "a"
+            depths[tag].pop()
         del stack[depth:]
-        aside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        aside, region = (stack[-1][1], stack[-1][2]) if stack else (_MAY, 0)
+
+    def innermost(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
 
     n = len(page)
     while at < n:
@@ -121,14 +141,13 @@ def blocks(page: str) -> list[_Block]:
             continue
         tag = tag.lower()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    if tag not in _INLINE or any(t not in _INLINE for t, _, _ in stack[depth:]):
-                        cut()
-                    elif tag in ("td", "th"):
-                        add(" ")
-                    leave(depth)
-                    break
+            depth = innermost((tag,))
+            if depth >= 0:
+                if tag not in _INLINE or any(t not in _INLINE for t, _, _ in stack[depth:]):
+                    cut()
+                elif tag in ("td", "th"):
+                    add(" ")
+                leave(depth)
             continue
         if tag in _RAW:
             if not attributes.endswith("/"):
@@ -142,13 +161,10 @@ def blocks(page: str) -> list[_Block]:
         if tag in _CLOSES_P or tag in ("li", "dt", "dd", "tr"):
             closes = ("p",) if tag in _CLOSES_P else ("li",) if tag == "li" else ("tr",) if tag == "tr" else ("dt", "dd")
             stops = ("ul", "ol") if tag == "li" else ("table",) if tag == "tr" else ("dl",) if tag in ("dt", "dd") else ("div", "section", "article", "td", "th", "li", "blockquote", "body")
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in closes:
-                    cut()
-                    leave(depth)
-                    break
-                if stack[depth][0] in stops:
-                    break
+            depth = innermost(closes)
+            if depth > innermost(stops):
+                cut()
+                leave(depth)
         if tag not in _INLINE:
             cut()
             tag_now = tag
@@ -156,15 +172,14 @@ def blocks(page: str) -> list[_Block]:
             add(" ")
         if attributes.endswith("/") and tag in _INLINE:
             continue
-        hide = aside or _surrounds(tag, attributes, region > 0)
-        if _is_article(tag, attributes) and not region:
+        hide = _NEVER if aside == _NEVER else max(aside, _surrounds(tag, attributes, region > 0))
+        if (_is_article(tag, attributes) and not region) or (hide == _DOUBT and aside == _MAY):
             articles += 1
             stack.append((tag, hide, articles))
         else:
             stack.append((tag, hide, region))
-        if hide and not aside and tag in _INLINE:
-            pass  # an inline element set aside leaves its block open
-        aside, region = hide, stack[-1][2]
+        depths.setdefault(tag, []).append(len(stack) - 1)
+        aside, region = hide, stack[-1][2]  # an inline element set aside leaves its block open
         in_link += tag == "a"
     cut()
     return out
@@ -173,17 +188,19 @@ def blocks(page: str) -> list[_Block]:
 def _decide(b: _Block, article: bool) -> bool | None:
     """First pass: main text, surroundings, or too short to tell."""
     n = len(b.text)
-    linked = b.links / n
+    linked, heading = b.links / n, b.tag[:1] == "h" and b.tag[1:].isdigit()
     if linked > LINK_HIGH:
-        return None if article and b.tag == "p" else False
+        return None if article and (b.tag == "p" or heading) else False
     if article and n > SHORT:
         return True
     words = _WORD.findall(b.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if not article and n <= 2 * SHORT and re.search(r"©|\bcopyright\b|all rights reserved", b.text, re.I):
         return False
-    if n <= SHORT or b.tag[:1] == "h" and b.tag[1:].isdigit():
+    if n <= SHORT or heading:
         return None
+    if b.doubtful:
+        return n >= LONG and density >= STOP_HIGH
     if density >= STOP_HIGH or (n >= LONG and density >= STOP_LOW):
         return True
     return False if density < STOP_LOW and n < LONG else None
@@ -191,23 +208,32 @@ def _decide(b: _Block, article: bool) -> bool | None:
 
 def classify(found: list[_Block]) -> list[bool]:
     """Whether each block is main text."""
-    sizes: dict[int, int] = {}
-    for b in found:
-        sizes[b.region] = sizes.get(b.region, 0) + len(b.text)
-    named = any(r for r in sizes)
-    labels: list[bool | None] = [False if named and not b.region else _decide(b, b.region > 0) for b in found]
+    named = any(b.region for b in found)
+    labels: list[bool | None] = [False if named and not b.region else _decide(b, b.region > 0 and not b.doubtful) for b in found]
+    def decided(order) -> list[int | None]:
+        """The last decided block of the same region before each, in that order."""
+        last: dict[int, int] = {}
+        near: list[int | None] = [None] * len(found)
+        for i in order:
+            near[i] = last.get(found[i].region)
+            if labels[i] is not None:
+                last[found[i].region] = i
+        return near
+
+    before, behind = decided(range(len(found))), decided(range(len(found) - 1, -1, -1))
     out = []
-    for i, b in enumerate(found):
-        label = labels[i]
-        step = 1
-        while label is None and step < len(found):
-            near = [labels[j] for j in (i + step, i - step) if 0 <= j < len(found) and found[j].region == b.region and labels[j] is not None]
-            if near:
-                label = any(near) if b.region else near[0] if b.tag[:1] == "h" else any(near)
-            step += 1
-            if i + step >= len(found) and i - step < 0:
-                break
-        out.append(bool(label) if label is not None else b.region > 0 or not named)
+    for i, (b, label) in enumerate(zip(found, labels, strict=True)):
+        if label is None:
+            p, q = before[i], behind[i]
+            ways = [(i - p, 1, labels[p])] if p is not None else []
+            ways += [(q - i, 0, labels[q])] if q is not None else []
+            if not ways:
+                label = (b.region > 0 and not b.doubtful) or not named
+            elif len(ways) == 2 and ways[0][0] == ways[1][0] and (b.region or b.tag[:1] != "h"):
+                label = bool(labels[p] or labels[q])
+            else:  # the nearest; a heading goes with what follows
+                label = bool(min(ways, key=lambda w: w[:2])[2])
+        out.append(label)
     return out
 
 
@@ -226,7 +252,12 @@ def _extract(batches):
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars), a row for each page; no shuffle.  Null html: an empty text.  Other columns are not read."""
+    """(page_id, url, text, n_chars), a row for each page; no shuffle.
+
+    Null or empty html: an empty text.  Whole pages are read, however long.  A
+    null id or url stays null; repeated rows each give their row; an empty table
+    gives none.  Other columns are not read, so their names cannot clash.
+    """
     text_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -261,6 +261,64 @@ def test_html_cases(page, text):
     assert text is None or got == text
 
 
+def test_html_names_inside_an_article():
+    """Prose under a name that surroundings have too stays if its blocks read like prose."""
+    page = f"<article><p>{LONG}</p><section class=%s><h2>Head</h2><p>{LONG} {LONG}</p></section><p>End.</p></article>"
+    inside = f"{LONG}\n\nHead\n\n{LONG} {LONG}\n\nEnd."
+    for name in ("legal-history", "form_of_government", "relatedWork", "body"):
+        assert html_text.main_text(page % name) == inside, name
+    for name in ("legal", "related", "legal-notice", "comments", "social-ad", "form", "cookie-box"):
+        assert html_text.main_text(page % name) == f"{LONG}\n\nEnd.", name
+    links = "<article><p>" + LONG + "</p><div class=related-posts><p><a href=x>Another article of ours</a></p><p>By us</p></div></article>"
+    assert html_text.main_text(links) == LONG
+
+
+def test_html_pages_of_known_blocks():
+    """Pages built from an article and what surrounds it, with markup inside the blocks."""
+    rng = random.Random(12)
+    some = lambda n: " ".join(rng.choice("the of river and stone to cloud is in a house that was old".split()) for _ in range(n))
+    surroundings = ["<nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav>", "<div class='ad'>%s</div>", "<aside><h3>More</h3><p>%s</p></aside>", "<form><p>%s</p><input name=q></form>", "<script>if (a < b) { '%s' }</script>", "<div id='cookie-notice'><p>%s</p></div>", "<section class='comments'><p>%s</p></section>", "<footer><p>%s</p></footer>"]
+    around = lambda *more: "".join(t % some(40) if "%s" in t else t for t in rng.sample([*surroundings, *more], rng.randrange(5)))
+    for _ in range(200):
+        blocks, html = [], []
+        for _ in range(rng.randrange(1, 9)):
+            tag, words = rng.choice(["p", "p", "h2", "li", "blockquote"]), some(rng.choice([2, 8, 30, 90])).split()
+            plain = words.copy()
+            i = rng.randrange(len(words))
+            words[i], plain[i] = rng.choice([(f"<b>{words[i]}</b>", words[i]), (f"<a href='x'>{words[i]}</a>" if len(words) > 2 else words[i], words[i]), ("A &amp; B", "A & B"), ("&#8364;&nbsp;5", "€ 5"), (f"{words[i]}<br>\n x", f"{words[i]} x")])
+            blocks.append(" ".join(plain))
+            html.append(f"<{tag}>" + "  ".join(words) + f"</{tag}>" + (around() if rng.random() < 0.2 else ""))
+        page = f"<html><head><title>t</title><style>p {{}}</style></head><body>{around('<header><p>%s</p></header>')}<article>{''.join(html)}</article>{around()}</body></html>"
+        assert html_text.main_text(page) == "\n\n".join(blocks)
+
+
+def test_html_second_pass_matches_all_distances():
+    """The nearest decided block of the region, looked for at every distance; equal distances: either will do, but a heading outside goes with what follows."""
+    rng = random.Random(3)
+    for _ in range(300):
+        found = [html_text._Block(rng.choice(["p", "h2", "li"]), rng.choice(["x", LONG, LONG.replace(" is ", " zz ").replace(" the ", " zz "), "a b c " * 20]), 0, rng.choice([0, 0, 1, 2])) for _ in range(rng.randrange(1, 14))]
+        named = any(b.region for b in found)
+        first = [False if named and not b.region else html_text._decide(b, b.region > 0) for b in found]
+        expected = []
+        for i, b in enumerate(found):
+            label = first[i]
+            for step in range(1, len(found)):
+                near = [first[j] for j in (i + step, i - step) if 0 <= j < len(found) and found[j].region == b.region and first[j] is not None]
+                if label is None and near:
+                    label = near[0] if b.tag == "h2" and not b.region else any(near)
+            expected.append(label if label is not None else b.region > 0 or not named)
+        assert html_text.classify(found) == expected
+
+
+def test_html_long_pages_take_proportional_time():
+    import time
+
+    for part in ("<li>one two</li>", "<li>one two", "<b>x", "<span><p>y", "</i><b>z", "<dt>a<dd>b", "<div>w"):
+        begin = time.perf_counter()
+        html_text.main_text(part * 40_000)
+        assert time.perf_counter() - begin < 15, part
+
+
 @real
 def test_html_real_pages(spark):
     rows = queries.op5_html_text(spark, DATA).collect()
