@@ -17,7 +17,11 @@ ranges, and only blocks travel:
    on whole sets.  Groups of near copies would give all their pairs, so first
    each posting list is joined with its most central document only, and then
    pairs are formed just between different components.  What is verified or
-   already connected covers every pair that could link.
+   already connected covers every pair that could link.  A document has no more
+   in common with another than it has with all others together, so the sizes
+   that its partners may have end there: documents around one passage that are
+   too long to link with each other never become pairs.  A long list is dealt to
+   tiles, and each pair of tiles is a task's work of its own.
 
 Rows with the same set (exact copies among them) are one node throughout.
 Sets are of 64-bit hashes; nothing is capped or sampled.
@@ -41,8 +45,8 @@ from .store import bounded, named, numbered, place, shuffle_partitions, spread,
 BLOCK_ENTRIES = 1_000_000
 #: Common rare shingles that a linked pair must have (fewer where its overlap bound is lower).
 DEPTH = 8
-#: Pairs formed at a time within one posting list.
-PAIR_TILE = 400_000
+#: Pairs formed at a time within one posting list, and entries of a list that form one tile.
+PAIR_TILE, LIST_TILE = 400_000, 20_000
 
 
 def _least_overlap(x, y, num: int, den: int):
@@ -306,7 +310,7 @@ def _postings(num: int, den: int):
         place = np.arange(len(w)) - first[w] + (sizes - shared)[w]
         keep = able[w] & (place < (sizes - least + DEPTH)[w])
         t, w = t[keep], w[keep]
-        return pa.table({"token": t.view(np.int64), "sign": signs[w], "n": sizes[w], "central": central[w]})
+        return pa.table({"token": t.view(np.int64), "sign": signs[w], "n": sizes[w], "shared": shared[w], "central": central[w]})
 
     return run
 
@@ -315,10 +319,11 @@ _PAIRS = pa.schema([("a", pa.int64()), ("lane", pa.int32()), ("payload", pa.bina
 
 
 def _cross_pairs(num: int, den: int):
-    """Posting lists (sorted by token) -> for each document, those it meets in a list, in another component, of a fitting size.
+    """Posting lists (sorted by token, cell and size) -> for each document, those it meets in a list, in another component, of a fitting size.
 
     A row holds some of the others that a document meets, with the number of
-    meetings that a linked pair of their sizes has at least.
+    meetings that a linked pair of their sizes has at least.  A cell holds one
+    tile of a list, for the pairs within it, or two, for those between them.
     """
 
     def lists(batches):
@@ -327,12 +332,12 @@ def _cross_pairs(num: int, den: int):
             if not batch.num_rows:
                 continue
             kept.append(batch)
-            t = np.asarray(batch.column(0))
-            if t[-1] == np.asarray(kept[0].column(0))[0]:
+            t, c = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if t[-1] == np.asarray(kept[0].column(0))[0] and c[-1] == np.asarray(kept[0].column(1))[0]:
                 continue  # a list that goes on
             table = pa.Table.from_batches(kept)
-            t = np.asarray(table.column(0).combine_chunks())
-            end = int(np.flatnonzero(t == t[-1])[0])
+            t, c = (np.asarray(table.column(k).combine_chunks()) for k in (0, 1))
+            end = int(np.flatnonzero((t == t[-1]) & (c == c[-1]))[0])
             yield table.slice(0, end)
             kept = table.slice(end).combine_chunks().to_batches()
         if kept:
@@ -341,22 +346,29 @@ def _cross_pairs(num: int, den: int):
     def run(batches):
         a, b, need, held = [], [], [], 0
         for table in lists(batches):
-            t, s, n, c, w = (np.asarray(x.combine_chunks()) for x in table.columns[:5])
-            cut = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
+            t, cell, r, s, n, h, c, w = (np.asarray(x.combine_chunks()) for x in table.columns[:8])
+            across = table.column(8).combine_chunks().to_numpy(zero_copy_only=False)
+            cut = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (cell[1:] != cell[:-1])) + 1, [len(t)]])
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                sign, size, comp, weight = s[lo:hi], n[lo:hi], c[lo:hi], w[lo:hi]
+                tile, sign, size, shared, comp, weight = r[lo:hi], s[lo:hi], n[lo:hi], h[lo:hi], c[lo:hi], w[lo:hi]
                 values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
                 if len(values) < 2:
                     continue
-                far = np.flatnonzero(inverse != np.argmax(counts))
-                step = max(1, PAIR_TILE // len(sign))
-                for i in range(0, len(far), step):
-                    x = far[i : i + step]
-                    ok = (comp[x][:, None] != comp[None, :]) & (den * np.minimum(size[x][:, None], size[None, :]) >= num * np.maximum(size[x][:, None], size[None, :]))
-                    # both ends outside the largest component: once, from the smaller
-                    ok &= (inverse[None, :] == np.argmax(counts)) | (sign[x][:, None] < sign[None, :])
-                    p, q = np.nonzero(ok)
-                    p = x[p]
+                most = inverse == np.argmax(counts)
+                far = np.flatnonzero(~most)
+                # the partners' sizes: of one document a range, as the list goes by size
+                least, largest = -((-num * size) // den), np.minimum((den * size) // num, ((num + den) * shared) // num - size)
+                begin = np.searchsorted(size, least[far])
+                count = np.maximum(np.searchsorted(size, largest[far], "right") - begin, 0)
+                group = np.cumsum(count) // PAIR_TILE
+                for part in np.split(np.arange(len(far)), np.flatnonzero(np.diff(group)) + 1):
+                    k = count[part]
+                    p = np.repeat(far[part], k)
+                    q = np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[part], k)
+                    ok = (comp[p] != comp[q]) & (size[p] <= largest[q]) & (most[q] | (sign[p] < sign[q]))  # both ends outside the largest component: once, from the smaller
+                    if across[lo]:
+                        ok &= tile[p] != tile[q]
+                    p, q = p[ok], q[ok]
                     need.append(np.minimum(_least_overlap(size[p], size[q], num, den), DEPTH).astype(np.uint8))
                     # named from the end in the smaller component, so that all lists count a pair together
                     turn = (weight[p] > weight[q]) | ((weight[p] == weight[q]) & (sign[p] > sign[q]))
@@ -372,6 +384,15 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
+def _cells(met: DataFrame) -> DataFrame:
+    """Postings with ``rows``, their list's length -> (token, cell, tile, ...): a list of several tiles goes to a cell for each pair of its tiles."""
+    tiles = F.ceil(F.col("rows") / LIST_TILE).cast("int")
+    tile = F.pmod(F.shiftright("sign", 16), F.col("tiles")).cast("int")  # signatures are mixed hashes
+    dealt = met.withColumn("tiles", tiles).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumn("cell", F.least("tile", "other") * F.col("tiles") + F.greatest("tile", "other"))
+    return dealt.select("token", "cell", "tile", "sign", "n", "shared", "component", "weight", (F.col("tile") != F.col("other")).alias("across"))
+
+
 def _grouped(a: list, b: list, need: list) -> pa.RecordBatch:
     x, y, need = np.concatenate(a), np.concatenate(b), np.concatenate(need)
     lane = (mix(y.view(np.uint64)) & np.uint64(3)).astype(np.int64)
@@ -485,14 +506,8 @@ def _links(asked: DataFrame, sets: DataFrame, blocks: int, num: int, den: int) -
     return both.mapInArrow(_block_product(num, den), "a long, b long")
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: components of documents whose ``k``-shingle sets have Jaccard similarity num / den or more.
-
-    Null or blank text: an empty set, linked with nothing.  A null doc_id keeps
-    its row and never names a component; a component of such rows only has a
-    null id.  Rows with equal texts link (unless empty); repeated rows stay.
-    Other columns are not read, so their names cannot clash.
-    """
+def _placed(docs: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
+    """(id, n, sign, group, least) for every row: its id, the size and signature of its set, its component and the least id of that."""
     spark = docs.sparkSession
     text_batches(spark)
     partitions = shuffle_partitions(spark)
@@ -511,55 +526,98 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_
     sets = written(base.join(bounded(chosen), "rid", "left_semi").select("rid", "text").mapInArrow(_text_sets(k), "sign long, n long, tokens binary"), "sets")
 
     posts = _exchange(sets, _set_blocks(buckets), _frequencies, buckets, partitions)
-    posts = written(posts.groupBy("block").applyInArrow(_postings(num, den), "token long, sign long, n long, central double"), "postings")
+    posts = written(posts.groupBy("block").applyInArrow(_postings(num, den), "token long, sign long, n long, shared long, central double"), "postings")
 
     # a set's block of about BLOCK_ENTRIES / 2 entries follows from its signature alone
     entries = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-2 * entries // BLOCK_ENTRIES))
+    # two sets that link are of like size, and neither has less in common with all others than they have together
     fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-    pivot = posts.groupBy("token").agg(F.max(F.struct("central", "sign", "n")).alias("p"), F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo <> hi").select("token", F.col("p.sign").alias("a"), F.col("p.n").alias("m"))
-    stars = posts.join(pivot, "token").where((F.col("a") != F.col("sign")) & fits(F.col("m"), F.col("n"))).select("a", F.col("sign").alias("b")).distinct()
+    enough = lambda s, x, y: s * (num + den) >= (x + y) * num
+    pivot = posts.groupBy("token").agg(F.max(F.struct("central", "sign", "n", "shared")).alias("p"), F.min("sign").alias("lo"), F.max("sign").alias("hi")).where("lo <> hi")
+    pivot = pivot.select("token", F.col("p.sign").alias("a"), F.col("p.n").alias("m"), F.col("p.shared").alias("of"))
+    likely = fits(F.col("m"), F.col("n")) & enough(F.least("shared", "of"), F.col("m"), F.col("n"))
+    stars = posts.join(pivot, "token").where((F.col("a") != F.col("sign")) & likely).select("a", F.col("sign").alias("b")).distinct()
     block = lambda c: F.pmod(F.shiftright(c, 8), F.lit(blocks)).cast("int")  # noqa: E731  signatures are mixed hashes
     stars = stars.groupBy("a", block("b").alias("block")).agg(F.collect_list("b").alias("others"))
     blocked = sets.select("sign", "tokens", block("sign").alias("block"))
-    first = written(_links(stars, blocked.withColumn("component", F.col("sign")), blocks, num, den), "stars", 2 * files)
+    first = written(_links(stars, blocked.withColumn("component", F.col("sign")), blocks, num, den).repartition(2 * files, "a", "b"), "stars")
 
     node = components(first, "a", "b")
     node = written(node.join(node.groupBy("component").agg(F.count("*").alias("weight")), "component").select(F.col("node").alias("sign"), "component", "weight"), "nodes", files)
-    now = posts.join(node, "sign", "left").select("token", "sign", "n", F.coalesce("component", "sign").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    now = posts.join(node, "sign", "left").select("token", "sign", "n", "shared", F.coalesce("component", "sign").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
     now = written(now, "placed")
-    mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    met = now.join(mixed, "token", "left_semi").repartition(partitions, "token").sortWithinPartitions("token").select("token", "sign", "n", "component", "weight")
+    mixed = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("small"), F.count("*").alias("rows")).where("lo <> hi").select("token", "small", "rows")
+    met = _cells(now.join(mixed, "token").where(enough(F.col("shared"), F.col("n"), F.col("small"))))
+    met = met.repartition(partitions, "token", "cell").sortWithinPartitions("token", "cell", "n")
     met = met.mapInArrow(_cross_pairs(num, den), "a long, lane int, payload binary").repartition(partitions, "a", "lane").sortWithinPartitions("a", "lane")
     met = written(met.mapInArrow(_often(blocks), "a long, block int, others array<long>"), "met")
     blocked = blocked.join(node.select("sign", "component"), "sign", "left").withColumn("component", F.coalesce("component", "sign"))
-    links = written(first.unionByName(_links(met, blocked, blocks, num, den)), "links", 2 * files)
+    links = written(first.unionByName(_links(met, blocked, blocks, num, den)).repartition(2 * files, "a", "b"), "links")
 
     node = written(components(links, "a", "b"), "components", files)
     placed = counted.join(node.withColumnRenamed("node", "sign"), "sign", "left")
     # a row of an empty set stays by itself
-    placed = placed.select("rid", "n", F.when(F.col("n") > 0, F.coalesce("component", "sign")).alias("group"))
-    ids = base.select("id", "rid").where("id is null").select("rid").distinct()
-    placed = placed.join(bounded(ids.withColumn("lost", F.lit(True))), "rid", "left").select(F.when(F.col("lost").isNull(), F.col("rid")).alias("id"), "n", "group")
+    placed = placed.select("rid", "n", "sign", F.when(F.col("n") > 0, F.coalesce("component", "sign")).alias("group"))
+    ids = written(base.select("id", "rid").where("id is null").select("rid").distinct(), "unnamed", files)
+    placed = placed.join(bounded(ids).withColumn("lost", F.lit(True)), "rid", "left").select(F.when(F.col("lost").isNull(), F.col("rid")).alias("id"), "n", "sign", "group")
     # a row that is alone in its group needs no join
     groups = placed.where("group is not null").groupBy("group").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
     groups = written(groups.select("group", "least"), "groups", files)
-    return placed.join(bounded(groups), "group", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return placed.join(bounded(groups), "group", "left").select("id", "n", "sign", "group", F.coalesce("least", "id").alias("least"))
+
+
+def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: components of documents whose ``k``-shingle sets have Jaccard similarity num / den or more.
+
+    Null or blank text: an empty set, linked with nothing.  A null doc_id keeps
+    its row and never names a component; a component of such rows only has a
+    null id.  Rows with equal texts link (unless empty); repeated rows stay.
+    Whole texts are read, however long; an empty table gives no rows.  Other
+    columns are not read, so their names cannot clash.
+    """
+    placed = _placed(docs, k, num, den, doc_id, text)
+    return placed.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def _signatures(position: int, k: int):
+    """Rows -> rows and the signature of their text's set."""
+
+    def run(batches):
+        for batch in batches:
+            raw, at = buffers(batch.column(position))
+            signs = [_sets(part, own, k)[3] for _, part, own in chunks(raw, at)]
+            signs = np.concatenate(signs) if signs else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.int64())], names=[*batch.schema.names, "sign"])
+
+    return run
 
 
 def near_representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of its smallest doc_id stays (one row of it, if repeated).
 
-    Rows with a null doc_id stay.  Of repeated rows of a document without words one stays too.
+    Rows with a null doc_id stay.  Rows that share a doc_id are judged each by
+    its own text: one stays for each component that the doc_id is the smallest
+    of, and one without words.
     """
-    placed = ngram_jaccard(docs, doc_id=doc_id, text=text)
-    gone = placed.toDF("gone", "n", "least").where("gone <> least").select("gone").distinct()
+    k = 5
+    files = max(6, shuffle_partitions(docs.sparkSession) // 8)
     base, at = numbered(docs), place(docs, doc_id)
-    kept = base.join(bounded(gone), F.col(at).cast("long") == F.col("gone"), "left_anti")
-    many = kept.groupBy(F.col(at).alias("many")).count().where("count > 1 and many is not null").select("many")
-    many = written(many, "many", 6)
-    if many.limit(1).count():
-        match = F.col(at) == F.col("many")
-        twice = kept.join(bounded(many), match, "left_semi").dropDuplicates([at])
-        kept = kept.join(bounded(many), match, "left_anti").unionByName(twice)
-    return named(kept, docs, [])
+    key = F.col(at).cast("long")
+    many = written(base.groupBy(key.alias("many")).count().where("count > 1 and many is not null").select("many"), "many", 6)
+    placed = _placed(docs, k, 8, 10, doc_id, text)
+    some = many.limit(1).count()
+    if some:
+        placed = written(placed, "decided")
+    gone = written(placed.where("id <> least").select(F.col("id").alias("gone")).distinct(), "gone", files)
+    if not some:
+        return named(base.join(bounded(gone), key == F.col("gone"), "left_anti"), docs, [])
+    once = base.join(bounded(many), key == F.col("many"), "left_anti").join(bounded(gone), key == F.col("gone"), "left_anti")
+    twice = base.join(bounded(many), key == F.col("many"), "left_semi").withColumn("_text", F.col(place(docs, text)).cast("string"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in twice.schema) + ", sign long"
+    twice = twice.mapInArrow(_signatures(len(base.columns), k), kinds).drop("_text")
+    fate = placed.join(bounded(many), F.col("id") == F.col("many"), "left_semi").select(F.col("id").alias("of"), F.col("sign").alias("own"), "group", "least")
+    # where several sets of one doc_id are in a component, the least of them stands for it
+    stay = fate.where("of = least").groupBy("of", "group").agg(F.min("own").alias("own"))
+    twice = twice.join(stay, (key == F.col("of")) & (F.col("sign") == F.col("own")), "left_semi").dropDuplicates([at, "sign"]).drop("sign")
+    return named(once.unionByName(twice), docs, [])

@@ -13,6 +13,7 @@ import brute
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import quiverlake.llm.ngram_jaccard as J
 from quiverlake.llm import ann, html_text, mixing, packing, quality, queries, toxicity, warc
 from quiverlake.llm.components import components
 from quiverlake.llm.ngram_jaccard import near_representatives, ngram_jaccard
@@ -152,6 +153,41 @@ def test_jaccard_components_match_all_pairs(spark, seed):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, _, c in brute.components(rows)})
 
 
+@pytest.mark.parametrize("tile", [7, 1000])
+def test_jaccard_of_long_lists_in_tiles(spark, monkeypatch, tile):
+    """Every list in several tiles, pairs formed a few at a time."""
+    monkeypatch.setattr(J, "LIST_TILE", tile)
+    monkeypatch.setattr(J, "PAIR_TILE", 50)
+    rows = corpus(5, 40)
+    rng, hot = random.Random(6), prose(7, 90).split()
+    # around one passage, with more or fewer words of their own: some link, chains among them, most don't
+    rows += [(1000 + i, " ".join([*hot, *(f"own{i}x{j}" for j in range(rng.choice([1, 5, 9, 11, 14, 20])))])) for i in range(60)]
+    got = ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute.components(rows))
+
+
+def test_jaccard_forms_no_pairs_around_a_passage(monkeypatch):
+    """Documents of 86 words in common and 14 of their own can't link, and their list gives no pair."""
+    import pyarrow as pa
+
+    n = 20_000
+    sign = np.random.default_rng(1).integers(-(2**62), 2**62, n)
+    columns = [np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32), sign, np.full(n, 96), np.full(n, 82), sign, np.ones(n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(np.zeros(n, bool))], names=list("abcdefghi"))
+    made = []
+    monkeypatch.setattr(J, "_grouped", lambda a, b, need: made.append(sum(map(len, a))))
+    list(J._cross_pairs(8, 10)(iter([batch])))
+    assert sum(made) == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (3, c), (3, c + " more"), (4, c), (5, b + " more"), (6, None), (6, ""), (6, prose(4))]
+    kept = near_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], (r["text"] or "").removesuffix(" more")) for r in kept)
+    assert got == sorted([(1, a), (2, b), (3, c), (6, ""), (6, prose(4))])
+
+
 @real
 def test_jaccard_real_rows(real_docs):
     rows = [tuple(r) for r in real_docs.select("doc_id", "text").collect()]
