@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import metadata as M
 from .functions import vectors as V
-from .operators import filters, ivf, mutations, search
+from .operators import filters, ivf, mutations, retrieval, search
 from .plans import planner
 from .sources import archive, files, jsonl
 from .sources.database import Collection, Database
@@ -309,11 +309,17 @@ _KNN = """WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS node, {l2} AS dist
 
 @query()
 def topk_ann(spark, sf_dir):
-    """Through inverted lists; approximate, so it has no SQL: the tests measure its recall."""
-    df = records(spark, sf_dir)
-    n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
-    index = ivf.build(df, files.shared(spark, "lists"), "cosine", n, dim)
-    return ivf.search(index, spark, _first(spark, sf_dir), 10, 64).select("node", "distance")
+    """Through the stored collection's index, which is built once; approximate, so it has no SQL: the tests measure its recall."""
+    c = collection(spark, sf_dir)
+    c.build_index()
+    return c.search_frame(_first(spark, sf_dir), 10, 64).select("node", "distance")
+
+
+@query()
+def ann_batch(spark, sf_dir):
+    """The ten nearest to every twentieth record, in one pass over the probed lists of the stored index; approximate like topk_ann."""
+    c = collection(spark, sf_dir)
+    return c.search_batch(c.records().where("node % 20 = 0"), 10, 64)
 
 
 @query(_KNN.format(l2=_L2.format(a="a.embedding", b="b.embedding"), skip="", k=10))
@@ -349,6 +355,18 @@ def recall_truth(spark, sf_dir):
     return search.knn(df, df.where("node % 20 = 0"), 5, "l2", skip_self=True).select("query_id", "rank", "node")
 
 
+@query(f"""WITH d AS (SELECT a.vec_id AS query_id, b.node, b.metadata_json, {_L2.format(a="a.embedding", b="b.embedding")} AS distance FROM {_LIVE} a, {_LIVE} b WHERE a.vec_id % 50 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, node) AS rank FROM d)
+ SELECT query_id, CAST(count(*) AS INTEGER) AS hits, coalesce(string_agg(CAST(json_extract(metadata_json, '$.label') AS VARCHAR), ', ' ORDER BY rank), '') AS context FROM r WHERE rank <= 5 GROUP BY query_id""")
+def retrieval_contexts(spark, sf_dir):
+    """What the five records nearest to each query say, some of them nothing."""
+    c = collection(spark, sf_dir)
+    rows = c.records()
+    queries = rows.where(F.col("id").cast("long") % 50 == 0)
+    hits = c.search_batch(queries, 5, exact=True).join(queries.select(F.col("node").alias("query_id"), F.col("id").cast("long").alias("of")), "query_id").select(F.col("of").alias("query_id"), "rank", "node")
+    return retrieval.contexts(hits, rows.select("node", F.get_json_object("metadata_json", "$.label").alias("text")), ", ")
+
+
 _SIGNS = "list_transform({t}.embedding[1:3], lambda x: sign(x))"
 
 

@@ -98,11 +98,12 @@ def inspect(spark: SparkSession, path: str, formats: tuple[str, ...] = (FORMAT,)
         fs, p = files.located(spark, f"{path}/{c['file']}")
         if not fs.exists(p):
             raise CorruptData(f"{c['file']} is missing")
-        stream = fs.open(p)
+        left, stream = fs.getFileStatus(p).getLen(), fs.open(p)
         try:
-            while part := bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(1 << 22, stream.available()))) if stream.available() else b"":
+            while left:
+                part = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(1 << 22, left)))
                 digest.update(part)
-                last = part[-1:]
+                left, last = left - len(part), part[-1:]
         finally:
             stream.close()
         if digest.hexdigest() != c["sha256"] or last != b"\n":

@@ -22,9 +22,11 @@ import itertools
 import json
 import time
 import uuid
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ RECORD = "id string, ordinal long, vector array<float>, metadata_json string"
 STORED = "id string, node long, vector array<float>, codes array<tinyint>, scale float, metadata_json string, meta map<string,struct<eq:string,num:double>>"
 #: Dead nodes, or ids of a write, that may be broadcast; beyond it Spark joins as it sees fit.
 BROADCAST_ROWS = 1_000_000
+#: Searches that a handle runs beside each other.
+SEARCHES = 8
 #: A collection that has grown by this factor since its index was built gets a new one.
 REBUILD = 2
 MAX_BATCH, MAX_ID_BYTES = 256, 65_536
@@ -98,6 +102,7 @@ class Database:
         self._state, self._saved = copy.deepcopy(state), copy.deepcopy(state)
         self._indexes: dict[str, tuple[dict, ivf.Lists]] = {}
         self._lease: str | None = None
+        self._pool: ThreadPoolExecutor | None = None
 
     # opening
 
@@ -226,6 +231,13 @@ class Database:
     def stats(self) -> dict:
         return {k: self._saved[k] for k in ("format", "identity", "sequence", "delta_bytes", "delta_commits", "checkpoints")} | {"collections": len(self._saved["collections"])}
 
+    @property
+    def pool(self) -> ThreadPoolExecutor:
+        """Threads that searches run in beside each other; Spark's scheduler shares the executors among them."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(SEARCHES, thread_name_prefix="search")
+        return self._pool
+
     # collections
 
     def _writable(self) -> None:
@@ -527,6 +539,25 @@ class Collection:
         finally:
             files.delete(self.spark, staged)
 
+    def upsert_arrays(self, ids, vectors, metadata=None) -> int:
+        """Bulk upsert of ids, a two-dimensional array (numpy or anything with its interface) or rows of numbers, and metadata values or none; as many of each."""
+        c, ids = self.config, [checked_id(i) for i in ids]
+        try:
+            x = np.asarray(vectors)
+        except ValueError as e:
+            raise InvalidArgument("vectors are rows of equal length") from e
+        if len(ids) and (x.ndim != 2 or x.shape[1] != c.dim or x.dtype.kind not in "fiu"):
+            raise InvalidArgument(f"vectors are rows of {c.dim} numbers")
+        texts = [None] * len(ids) if metadata is None else [None if m is None else M.canonical(m) for m in metadata]
+        if not len(ids) == len(x) == len(texts):
+            raise InvalidArgument("ids, vectors and metadata differ in number")
+        if not ids:
+            return 0
+        with np.errstate(over="ignore"):
+            flat = pa.array(np.ascontiguousarray(x, np.float32).reshape(-1))
+        rows = pa.table({"id": pa.array(ids, pa.string()), "vector": pa.FixedSizeListArray.from_arrays(flat, c.dim).cast(pa.list_(pa.float32())), "metadata_json": pa.array(texts, pa.string())})
+        return self.upsert_frame(self.spark.createDataFrame(rows))
+
     def upsert_many(self, records) -> int:
         """(id, vector, metadata) triples: validated before anything is written; the last of equal ids counts, all count as written."""
         self.db._writable()
@@ -663,6 +694,10 @@ class Collection:
     def search(self, query, k: int = 10, **options) -> list[Row]:
         return _finite(self.search_frame(query, k, **options).collect())
 
+    def search_async(self, query, k: int = 10, **options) -> Future:
+        """search() in a thread of the database's own; the future holds the hits or the error."""
+        return self.db.pool.submit(self.search, query, k, **options)
+
     def search_batch(self, queries: DataFrame, k: int = 10, ef: int | None = None, exact: bool = False) -> DataFrame:
         """(query_id, rank, node, distance) for many queries (node, vector), by the index or exactly.
 
@@ -733,9 +768,10 @@ class Collection:
             begin = time.perf_counter()
             hits = ivf.search_many(index, sampled, k, max(ef, k), self._alive, skip_self=True).select("query_id", "node").collect()
             took = time.perf_counter() - begin
-            visited = [int(index.sizes[ivf.probed(index, np.asarray(r["vector"], np.float64), max(ef, k))].sum()) for r in rows]
+            visited = sorted(int(index.sizes[ivf.probed(index, np.asarray(r["vector"], np.float64), max(ef, k))].sum()) for r in rows)
+            ranked = lambda p: visited[int((len(visited) - 1) * p + 0.5)]  # noqa: E731  nearest rank
             found = sum((h["query_id"], h["node"]) in true for h in hits)
-            out.append((ef, found / (k * len(rows)), int(np.percentile(visited, 50, method="lower")), int(np.percentile(visited, 95, method="higher")), len(rows), took))
+            out.append((ef, found / (k * len(rows)), ranked(0.5), ranked(0.95), len(rows), took))
         return self.spark.createDataFrame(out, "ef int, recall double, visited_p50 long, visited_p95 long, queries int, seconds double")
 
 

@@ -42,7 +42,12 @@ def write(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def publish(spark: SparkSession, path: str, data: bytes) -> bool:
-    """Whole or not at all, and only if the name is free: written aside, then renamed atomically.  False if it is taken."""
+    """Whole or not at all, and only if the name is free: written aside, then renamed.  False if it is taken.
+
+    The store's rename must be atomic and refuse a name that is taken, as HDFS and
+    local file systems do.  An object store that copies instead needs a file
+    system that makes up for it; two writers at once could else both succeed.
+    """
     aside = f"{path}.{spark._jvm.java.util.UUID.randomUUID().toString()}.tmp"
     write(spark, aside, data)
     fs, a = located(spark, aside)

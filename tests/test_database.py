@@ -378,3 +378,17 @@ def test_the_first_format_is_upgraded(spark, place):
         c = view.collection("x")
         assert (c.count(), c.stats()["deleted"]) == (2, 2) and [h["id"] for h in c.search([0.0], 5, filter={"v": 2})] == ["a", "c"]
     assert Database._catalog(spark, place, 0)["format"] == 1
+
+
+def test_arrays_and_searches_beside_each_other(spark, place):
+    c = Database.create(spark, place).create_collection("x", 3, "l2")
+    x = np.arange(30, dtype=np.float32).reshape(10, 3)
+    assert c.upsert_arrays([str(i) for i in range(10)], x, [{"i": i} if i % 2 else None for i in range(10)]) == 10
+    assert c.upsert_arrays([], []) == 0 and c.get("3")["metadata"] == {"i": 3} and c.get("4")["metadata"] is None
+    for ids, vectors, metadata in ((["a"], x, None), (["a"], [[1, 2]], None), (["a"], [["1", "2", "3"]], None), (["a", "b"], [[1, 2, 3], [1, 2]], None), (["a"], [[1, 2, 3]], []), ([1], [[1, 2, 3]], None), (["a"], [[1, 2, float("nan")]], None)):
+        with pytest.raises(InvalidArgument):
+            c.upsert_arrays(ids, vectors, metadata)
+    assert c.count() == 10
+    futures = [c.search_async(v.tolist(), 1, exact=True) for v in x]
+    assert [f.result()[0]["id"] for f in futures] == [str(i) for i in range(10)]
+    assert isinstance(c.search_async([0, 0], 1).exception(), InvalidArgument)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiverlake import catalog_queries as Q
+from quiverlake import engine_queries  # noqa: F401  adds to Q
 from quiverlake.operators import ivf, search
 from quiverlake.functions import vectors as V
 
@@ -41,7 +42,7 @@ def test_matches_sql(spark, duck, name):
 
 def test_ann_finds_most(spark):
     ann = {r["node"] for r in Q.QUERIES["topk_ann"](spark, DATA).collect()}
-    exact = {r["node"] for r in Q.QUERIES["topk_cosine"](spark, DATA).collect()}
+    exact = {r["node"] for r in Q.QUERIES["topk_l2"](spark, DATA).collect()}
     assert len(ann & exact) >= 9
 
 
@@ -64,8 +65,12 @@ def test_ann_recall_on_sf01(spark, tmp_path):
     """2,000 rows are more than a budget of candidates holds."""
     df = Q.records(spark, LARGER).withColumn("meta", F.lit(None).cast("string"))
     assert _found(spark, f"file://{tmp_path}/lists", df, "cosine") >= 0.95
-    ann, exact = ({r["node"] for r in Q.QUERIES[name](spark, LARGER).collect()} for name in ("topk_ann", "topk_cosine"))
+    ann, exact = ({r["node"] for r in Q.QUERIES[name](spark, LARGER).collect()} for name in ("topk_ann", "topk_l2"))
     assert len(ann & exact) >= 9
+    found = {(r["query_id"], r["node"]) for r in Q.QUERIES["ann_batch"](spark, LARGER).collect()}
+    c = Q.collection(spark, LARGER)
+    true = {(r["query_id"], r["node"]) for r in c.search_batch(c.records().where("node % 20 = 0"), 10, exact=True).collect()}
+    assert len(found & true) >= 0.95 * len(true)
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
