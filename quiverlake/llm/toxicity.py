@@ -24,8 +24,8 @@ from .store import spread, text_batches, written
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 40_000
-#: Lexicon entries, at most; toxic documents an entry must occur in; how much more often than in others.
-ENTRIES, LEAST_DOCUMENTS, LEAST_RATIO = 5_000, 4, 6.0
+#: Toxic documents of the sample that a lexicon entry must occur in; how much more often than in others.
+LEAST_DOCUMENTS, LEAST_RATIO = 4, 6.0
 #: Byte lengths of the word beginnings that may be entries.
 BEGINNINGS = (4, 5, 6, 7)
 #: Words between a second-person word and an entry that count as near.
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     sums = grams.groupBy("gram").agg(F.first("beginning").alias("beginning"), *[F.sum(c).alias(c) for c in columns])
     all_of = lambda k: sum((F.col(c) for c in columns[k::2]), F.lit(0))
     ratio = ((all_of(0) + 0.5) / (bad + 1)) / ((all_of(1) + 0.5) / (good + 1))
-    top = sums.where(all_of(0) >= LEAST_DOCUMENTS).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc(F.log("ratio") * F.log1p(all_of(0))), "gram").limit(ENTRIES).toPandas()
+    top = sums.where(all_of(0) >= LEAST_DOCUMENTS).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy("gram").toPandas()
     gram, beginning = top.gram.to_numpy().astype(np.int64).view(np.uint64), top.beginning.to_numpy().astype(bool)
     counts = top[columns].to_numpy().astype(np.int64).reshape(-1, FOLDS, 2)
     every = counts.sum(axis=1)
@@ -299,7 +299,12 @@ def _score(model: Model):
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``, from its text alone.  Null text scores as an empty one; a null id is not held out."""
+    """(doc_id, held_out, score, predicted) for every row of ``docs``, from its text alone.
+
+    Null text scores as an empty one; a null id is not held out.  Whole texts are
+    scored, however long; repeated rows alike.  An empty table gives no rows.
+    Other columns are not read, so their names cannot clash.
+    """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     out = spread(rows, "doc_id", "text").mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
