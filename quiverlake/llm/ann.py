@@ -24,8 +24,8 @@ from .store import shuffle_partitions, written
 
 #: Numbers in the sample that the index is fitted on (20,000 rows of 64 dimensions are 1.3 million).
 SAMPLE_NUMBERS = 1_300_000
-#: Lists at most, rows of a list's block, queries of a group.
-LISTS, BLOCK_ROWS, QUERY_ROWS = 1_024, 8_192, 1_024
+#: Sampled vectors for each list at least, rows of a list's block, queries of a group.
+SAMPLED_EACH, BLOCK_ROWS, QUERY_ROWS = 4, 8_192, 1_024
 #: Rotated dimensions compared at a time, and the test's strictness (larger: fewer wrong drops).
 COLUMNS, EPSILON = 16, 2.1
 #: Share of true neighbours, in the sample, that probed lists must hold.
@@ -62,7 +62,7 @@ class Index:
         rng = np.random.default_rng(seed)
         self.d = d = sample.shape[1]
         self.sample = sample.astype(np.float32)
-        lists = max(1, min(LISTS, int(np.sqrt(rows)), len(sample)))
+        lists = max(1, min(int(np.sqrt(rows)), len(sample) // SAMPLED_EACH))
         centers = sample[rng.choice(len(sample), lists, replace=False)]
         for _ in range(8):
             own = self._nearest(sample, centers)
@@ -206,12 +206,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     Vectors that are null, zero, hold null or non-finite numbers or have another
     than the most frequent dimension take no part, on either side.  Rows with
     the query's own id are no candidates, repeated ones included; a query id
-    that comes twice is asked once.  Ties go to the smaller id.  Rows with a
-    null id take no part.
+    that comes twice is asked once, with the least of its vectors.  Ties go to
+    the smaller id.  Rows with a null id take no part.  An empty table on either
+    side gives no rows.  Other columns are not read, so their names cannot clash.
     """
     spark = vectors.sparkSession
     narrow = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
-    base, asked = narrow(vectors), narrow(queries).dropDuplicates(["vec_id"])
+    base, asked = narrow(vectors), narrow(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sizes = base.groupBy(F.size("embedding").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
@@ -229,14 +230,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     salts = max(1, -(-rows // BLOCK_ROWS))
     partitions = shuffle_partitions(spark)
     placed = written(base.mapInArrow(_assign(index, salts), "list int, salt int, vec_id long, vector binary"), "placed")
-    # the blocks of each list: one for every BLOCK_ROWS rows; at most LISTS rows come to the driver
+    # the blocks of each list: one for every BLOCK_ROWS rows; a row for each list comes to the driver
     counts = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
 
     def searched(asked: DataFrame, exhaustive: bool) -> DataFrame:
         probes = written(asked.mapInArrow(_probe(index, exhaustive), "list int, n int, ids binary, vectors binary, bounds binary"), "probes")
         groups = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.sum("n").alias("n")).collect()}
         plan = spark.createDataFrame([(a, -(-counts[a] // BLOCK_ROWS), -(-groups[a] // (8 * QUERY_ROWS))) for a in sorted(counts) if groups.get(a)], "list int, blocks int, shares int")
-        plan = F.broadcast(plan)  # LISTS rows at most
+        plan = F.broadcast(plan)  # a row for each list
         own = placed.join(plan, "list").withColumn("block", F.col("salt") % F.col("blocks")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         put = probes.join(plan, "list").withColumn("share", F.pmod(F.xxhash64("ids"), F.col("shares")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         keys = ["list", "block", "share"]
