@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +27,14 @@ from .tokens import BYTE_BPE, encoder
 CAPACITY = 2048
 #: Id that ends every document.
 END = 0
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("salt", pa.int32())])
 
 
-def _pieces(capacity: int, name: str, path: str | None, with_ids: bool):
+def _pieces(capacity: int, name: str, path: str | None, with_ids: bool, salts: int):
+    """Rows -> their pieces, dealt to salts in turn, so that no number of equal rows fills one."""
+
     def run(batches):
-        encode = encoder(name, path)
+        encode, turn = encoder(name, path), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[list] = [[] for _ in _PIECES]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -40,9 +43,9 @@ def _pieces(capacity: int, name: str, path: str | None, with_ids: bool):
                 step = len(ids) % capacity or min(len(ids), capacity)
                 while start < len(ids):
                     part = ids[start : start + step].tobytes()
-                    for col, x in zip(rows, (doc, piece, start, step, zlib.crc32(part), part if with_ids else None), strict=True):
+                    for col, x in zip(rows, (doc, piece, start, step, zlib.crc32(part), part if with_ids else None, turn % salts), strict=True):
                         col.append(x)
-                    start, piece, step = start + step, piece + 1, capacity
+                    start, piece, step, turn = start + step, piece + 1, capacity, turn + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
 
     return run
@@ -127,17 +130,17 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
 
     Null or empty text: one piece of the end id alone.  Rows are packed as they
     come, repeated ones and null ids too; rows equal in all of this are
-    interchangeable.  An empty table gives no rows.  Other columns are not read.
+    interchangeable.  Whole texts are encoded, however long.  An empty table gives
+    no rows.  Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     text_batches(spark)
     salts = shuffle_partitions(spark)
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, salt int"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    cut = spread(rows, "doc_id", "text").mapInArrow(_pieces(capacity, tokenizer, path, with_ids), kinds)
-    cut = written(cut if with_ids else cut.drop("ids"), "pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    salted = cut.withColumn("salt", salt)
+    cut = spread(rows, "doc_id", "text").mapInArrow(_pieces(capacity, tokenizer, path, with_ids, salts), kinds)
+    salted = written(cut if with_ids else cut.drop("ids"), "pieces")
+    cut = salted.drop("salt")
     groups = written(salted.groupBy("length", "salt").count(), "lengths", max(6, salts // 8))
     histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity rows at most
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
