@@ -42,7 +42,12 @@ def _counts(versions: tuple[str, ...]):
 
 
 def document_counts(docs: DataFrame, versions: tuple[str, ...] = (WORDS, BYTE_BPE)) -> DataFrame:
-    """(doc_id, source, lang, version, tokens): a row for each document and tokenizer version.  Null text: 0 tokens."""
+    """(doc_id, source, lang, version, tokens): a row for each document and tokenizer version.
+
+    Null text: 0 tokens.  Whole texts are counted, however long; repeated rows
+    each count.  An empty table gives no rows.  Other columns are not read, so
+    their names cannot clash.
+    """
     text_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
     wide = spread(narrow, "doc_id", "text").mapInArrow(_counts(tuple(versions)), "doc_id long, source string, lang string, " + ", ".join(f"n{i} long" for i in range(len(versions))))
