@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded, new_folder, text_batches, written
+from .store import bounded, new_folder, shuffle_partitions, text_batches, written
 
 #: Magic of the skippable frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Bytes of a dictionary, and of the records that it is built from, for each archive.
-DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 10, 4 << 20
+DICTIONARY_BYTES, SAMPLE_BYTES, PIECE_BYTES = 64 << 10, 4 << 20, 64 << 10
 #: Bytes of records buffered before an archive is cut, and records at most.
 ARCHIVE_BYTES = 256 << 20
 LEAST_BYTES = 1000
@@ -77,18 +77,24 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A dictionary from records spread over the archive; b"" if they are too few or alike to give one."""
+    """A dictionary from whole records spread over the archive, in pieces.
+
+    Where these are too few or too much alike to train one, the pieces themselves
+    are the dictionary, as raw content.
+    """
     import zstandard
 
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    samples = [r[: 128 << 10] for r in records[::step]]
-    if len(samples) < 8:
-        return b""
+    chosen = records[::step]
+    piece = max(64, min(PIECE_BYTES, sum(map(len, chosen)) // 8))
+    samples = [r[i : i + piece] for r in chosen for i in range(0, len(r), piece)]
     size = min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 16))
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8, steps=1).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        raw = b"".join(samples)[-DICTIONARY_BYTES:]
+        # no trained dictionary begins like a record, so none is taken for one
+        return raw if len(raw) >= 8 else b"WARC/1.1"
 
 
 def archive(records: list[bytes]) -> bytes:
@@ -193,15 +199,20 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     Null html: an empty payload.  Among payloads of ``least`` bytes or more that
     are equal, the row with the largest page_id is the response; repeated rows
     with that id are all responses.  A null page_id or url is written as an empty
-    field; where all equal payloads have null ids, all are responses.
+    field; where all equal payloads have null ids, all are responses.  Whole
+    payloads are written, however long; an empty table gives no archive.  Other
+    columns are not read, so their names cannot clash.
     """
     spark = pages.sparkSession
     text_batches(spark)
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("html"))
     base = base.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    large = base.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = base.join(bounded(large), "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).alias("refers_to"))
+    large = base.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    large = bounded(written(large.select(F.col("digest").alias("of"), "first"), "repeated", max(6, shuffle_partitions(spark) // 8)))
+    # a small payload refers to nothing; a key of its own keeps the many empty ones apart
+    key = F.when(F.octet_length("html") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = base.withColumn("of", key).join(large, "of", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).alias("refers_to"))
     store, root = _filesystem(folder)
     store.create_dir(root, recursive=True)
     return joined.mapInArrow(_write(folder), "path string")

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 
 import quiverlake.llm.ngram_jaccard as J
 from quiverlake.llm import ann, html_text, mixing, packing, quality, queries, toxicity, warc
+from quiverlake.llm.boosting import BoostedTrees, Isotonic
 from quiverlake.llm.components import components
 from quiverlake.llm.ngram_jaccard import near_representatives, ngram_jaccard
 from quiverlake.llm.store import new_folder
@@ -385,6 +386,56 @@ def insults(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
 
 
+def test_isotonic_fit_matches_the_min_max_formula():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 40):
+        score, y = rng.permutation(n).astype(float), rng.integers(0, 2, n)
+        own = y[np.argsort(score)]
+        best = [max(min(own[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        fit = Isotonic().fit(score, y)
+        # a step's value holds at its middle; between steps values lie on a line
+        assert sorted(set(np.round(fit.value, 12))) == sorted(set(np.round(best, 12)))
+        for at, value in zip(fit.at, fit.value, strict=True):
+            step = [i for i in range(n) if abs(best[i] - value) < 1e-9]
+            assert at == pytest.approx(np.mean(step))
+        out = fit(np.linspace(-1, n, 50))
+        assert (np.diff(out) >= -1e-12).all() and out.min() >= 0 and out.max() <= 1
+
+
+def test_one_tree_splits_where_brute_force_does():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x, y = rng.integers(0, 6, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
+        tree = BoostedTrees(trees=1, depth=1, rate=1.0, bins=64, least=5, l2=1.0).fit(x, y)
+        p = y.mean()
+        grad, hess = p - y, np.full(60, p * (1 - p))
+        score = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + 1.0)
+        gains = {}
+        for f in range(3):
+            for cut in np.unique(x[:, f])[1:]:
+                right = x[:, f] >= cut
+                if min(right.sum(), (~right).sum()) >= 5:
+                    gains[f, cut] = score(right) + score(~right) - score(np.ones(60, bool))
+        base = np.log(p / (1 - p))
+        raw = tree.raw(x)
+        best = max(gains.values())
+        expected = [np.where(x[:, f] >= c, *(base - grad[r].sum() / (hess[r].sum() + 1.0) for r in (x[:, f] >= c, x[:, f] < c))) for (f, c), g in gains.items() if g > best - 1e-9]
+        assert any(np.allclose(raw, e) for e in expected)
+
+
+def test_trees_lower_the_loss_and_find_interactions():
+    rng = np.random.default_rng(4)
+    x = rng.random((3000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    loss = []
+    for n in (1, 5, 20, 60):
+        raw = BoostedTrees(trees=n).fit(x, y).raw(x)
+        loss.append(np.log1p(np.exp(-(2 * y - 1) * raw)).mean())
+    assert loss == sorted(loss, reverse=True) and loss[-1] < 0.1
+    new = rng.random((500, 4))
+    assert ((BoostedTrees().fit(x, y).raw(new) > 0) == ((new[:, 0] > 0.5) ^ (new[:, 1] > 0.3))).mean() > 0.97
+
+
 def test_toxicity_is_learned(insults):
     docs, labels, truth = insults
     rows = toxicity.scored(docs, toxicity.fit(docs, labels)).collect()
@@ -539,6 +590,12 @@ def test_special_strings_are_one_token(spark):
     assert counts == {i: len(x) - 1 for i, x in ids.items()}
 
 
+def test_packing_deals_equal_rows(spark):
+    """Rows that are equal throughout still fall to all salts, and each gets a place of its own."""
+    rows = packing.packed(spark.createDataFrame([(None, None)] * 3000 + [(1, "a b c")] * 3000, "doc_id long, text string")).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 6000 and len({r["sequence_id"] for r in rows}) <= 8
+
+
 def test_packing_odd_rows(odd, none):
     rows = packing.packed(odd).collect()
     by_id = collections.Counter(r["doc_id"] for r in rows)
@@ -552,15 +609,22 @@ def test_packing_odd_rows(odd, none):
 
 @real
 def test_rollup_matches_a_recount(spark, real_docs):
-    got = {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in queries.op9_token_counts(spark, DATA).where("version = 'words'").collect()}
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    found = queries.op9_token_counts(spark, DATA).collect()
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = {"words": lambda t: len(brute.words(t)), "byte_bpe_50k": lambda t: len(bpe.encode(t or "", add_special_tokens=False).ids)}
+    assert {r["version"] for r in found} == size.keys()
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    expected = collections.defaultdict(lambda: [0, 0])
-    for r in real_docs.collect():
-        mark = labels.get(r["doc_id"])
-        if mark is None or mark["quality"] != 0:
-            expected[r["source"], r["lang"]][0] += 1
-            expected[r["source"], r["lang"]][1] += 0 if mark is not None and mark["toxic"] == 1 else len(brute.words(r["text"]))
-    assert got == {k: tuple(v) for k, v in expected.items() if any(v)}
+    for version, count in size.items():
+        expected = collections.defaultdict(lambda: [0, 0])
+        for r in real_docs.collect():
+            mark = labels.get(r["doc_id"])
+            if mark is None or mark["quality"] != 0:
+                expected[r["source"], r["lang"]][0] += 1
+                expected[r["source"], r["lang"]][1] += 0 if mark is not None and mark["toxic"] == 1 else count(r["text"])
+        assert {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in found if r["version"] == version} == {k: tuple(v) for k, v in expected.items() if any(v)}
 
 
 def test_rollup_batches_commit_once(spark, odd, none):
@@ -585,6 +649,13 @@ def test_rollup_batches_commit_once(spark, odd, none):
 # 10 WARC
 
 
+@pytest.mark.parametrize("records", [[b"x"], [b""] * 3, [b"WARC/1.1 one and the same record"] * 5, [bytes([i % 7]) * (300_000 + i) for i in range(3)], [os.urandom(5000) for _ in range(4)], [str(i).encode() * 50 for i in range(500)]])
+def test_archives_of_any_size_have_a_dictionary(records):
+    data = warc.archive(records)
+    magic, size = np.frombuffer(data[:8], "<u4")
+    assert magic == warc.DICTIONARY_MAGIC and size > 0 and list(warc.records_of(data)) == records
+
+
 def test_archive_round_trips_each_record():
     payloads = [(b"<p>%d " % i + b"some words that all pages share " * 40) for i in range(50)] + [b"", b"x", b"\r\n\r\n" * 9, "é".encode() * 900]
     records = [warc.record(i, f"http://x/{i}\r\nX: y", p, hashlib.sha1(p).hexdigest()) for i, p in enumerate(payloads)]
