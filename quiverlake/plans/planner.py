@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument
 
 SAMPLE = 512
+#: The number of values up to which Spark pushes a list down to Parquet as it is.
+PUSHED = "spark.sql.parquet.pushdown.inFilterThreshold"
 #: What samples of nodes are drawn with, unless another seed is given.
 SEED = 20_240_229
 _MASK = 2**64 - 1
@@ -71,12 +73,21 @@ def sampled_nodes(nodes: int, seed: int = SEED) -> list[int] | None:
 
 
 def selectivity(records: DataFrame, matches, nodes: int, seed: int = SEED) -> float:
-    """Share of live records that match; 1.0 where none is live.  records: (node, deleted, ...)."""
+    """Share of live records that match; 1.0 where none is live.  records: (node, deleted, ...).
+
+    The sampled nodes are pushed down to Parquet as a list, so that of a table in
+    order of nodes only the pages that hold them are read.
+    """
     drawn = sampled_nodes(nodes, seed)
-    df = records.where(~F.col("deleted"))
+    df, conf = records.where(~F.col("deleted")), records.sparkSession.conf
+    before = conf.get(PUSHED)
     if drawn is not None:
         # SAMPLE rows at most
         some = records.sparkSession.createDataFrame([(n,) for n in drawn], "node long")
-        df = df.join(F.broadcast(some), "node")
-    row = df.agg(F.count("*").alias("n"), F.count_if(matches).alias("m")).first()
+        df = df.where(F.col("node").isin(sorted(set(drawn)))).join(F.broadcast(some), "node")
+    conf.set(PUSHED, str(max(SAMPLE, int(before))))
+    try:
+        row = df.agg(F.count("*").alias("n"), F.count_if(matches).alias("m")).first()
+    finally:
+        conf.set(PUSHED, before)
     return row["m"] / row["n"] if row["n"] else 1.0
