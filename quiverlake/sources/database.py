@@ -676,8 +676,8 @@ class Collection:
         lies farther out than the lists reach, the search is made again, exactly.
         """
         q = self._prepared(query)
-        plan = plan or self.plan(k, ef, exact, filter)
         where = None if filter is None else filters.compiled(filter)
+        plan = plan or self.plan(k, ef, exact, None if exact else filter)  # an exact search needs no estimate
         return self._searched(q, k, plan, where)[0].select("id", "node", "distance", "metadata_json")
 
     def explain(self, query, k: int = 10, ef: int | None = None, exact: bool = False, filter=None) -> Report:
